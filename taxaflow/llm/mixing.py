@@ -5,8 +5,8 @@ token counts. Seats (blocks) go to sources, then to each source's shards, by hig
 A shard with n blocks and s seats takes every block floor(s / n) times and s mod n blocks once more, chosen by a seeded
 permutation of the block numbers. A document's take is the overlap of its words with the chosen blocks.
 
-All of it is DataFrame code: two aggregations, windows over sources and shards, and one window over each shard's
-documents (bounded by `shard_docs`). Nothing is collected.
+The quotas are DataFrame code: two aggregations, windows over sources and shards, and one window over each shard's
+documents (bounded by `shard_docs`). Nothing is collected. apply() cuts the chosen words out of the texts in one pass.
 
 Null text has size 0; a null source is a source of its own, ordered last; an empty table gives an empty result; repeated
 rows are separate documents; a null doc_id is placed like any other value.
@@ -14,11 +14,15 @@ rows are separate documents; a null doc_id is placed like any other value.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import ensure_checkpoint_dir
+from taxaflow.llm.common import ensure_checkpoint_dir, slices, word_bounds
 
 WORD = r"[^\x20\x09-\x0D]+"
 _MULTIPLIERS = (1000003, 1000033)  # primes; the second serves block counts that the first divides
@@ -65,8 +69,8 @@ def _spread(x: Column, seed: int) -> Column:
     return F.pmod(F.pmod(x, F.lit(2147483647)) * F.lit(2654435761) + F.lit(seed), F.lit(2147483647))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 32, shard_docs: int = 4096, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document, and the columns named in keep."""
+def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 32, shard_docs: int = 4096, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with where its words lie in its shard (begin, end) and what the shard is granted: doc_id, the columns in keep, size, source_size, target, begin, end, words, blocks, seats, shift, times."""
     ensure_checkpoint_dir(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select("doc_id", "source", *keep, size.alias("size")) if keep else docs.select("doc_id", "source", size.alias("size")).checkpoint()
@@ -85,17 +89,69 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     w = W.partitionBy("rank", "shard").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     laid = placed.withColumn("begin", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("end", F.col("begin") + F.col("size"))
     laid = laid.join(shards, ["rank", "shard"], "left").join(sources.select("rank", "source_size", "target"), "rank")
+    n = F.col("blocks")
+    shift = _spread(F.col("shard") * 40503 + F.col("rank"), seed + 1)
+    times = F.when(F.pmod(n, F.lit(_MULTIPLIERS[0])) == 0, F.lit(_MULTIPLIERS[1])).otherwise(F.lit(_MULTIPLIERS[0])).cast("long")
+    return laid.select("doc_id", *keep, "size", "source_size", "target", "begin", "end", "words", "blocks", "seats", shift.alias("shift"), times.alias("times"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document. Options as in plan()."""
     n, total = F.col("blocks"), F.col("words")
     low = F.greatest(F.lit(0).cast("long"), F.floor(F.col("begin") * n / total).cast("long") - 1)
     high = F.least(n - 1, F.floor(F.col("end") * n / total).cast("long") + 1)
-    shift = _spread(F.col("shard") * 40503 + F.col("rank"), seed + 1)
-    times = F.when(F.pmod(n, F.lit(_MULTIPLIERS[0])) == 0, F.lit(_MULTIPLIERS[1])).otherwise(F.lit(_MULTIPLIERS[0])).cast("long")
 
     def overlap(acc: Column, j: Column) -> Column:
         at, to = F.floor(j * total / n).cast("long"), F.floor((j + 1) * total / n).cast("long")
         inside = F.greatest(F.lit(0).cast("long"), F.least(F.col("end"), to) - F.greatest(F.col("begin"), at))
-        return acc + F.when(F.pmod(j * times + shift, n) < F.pmod(F.col("seats"), n), inside).otherwise(F.lit(0).cast("long"))
+        return acc + F.when(F.pmod(j * F.col("times") + F.col("shift"), n) < F.pmod(F.col("seats"), n), inside).otherwise(F.lit(0).cast("long"))
 
     extra = F.aggregate(F.sequence(low, high), F.lit(0).cast("long"), overlap)
     taken = F.when(F.col("size") > 0, F.col("size") * F.floor(F.col("seats") / n).cast("long") + extra).otherwise(F.lit(0).cast("long"))
-    return laid.select("doc_id", *[c for c in keep], "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return plan(docs, **options).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """The mixture itself, with the columns of docs (doc_id, text, source and any others): a row for each time a document is taken whole, and one with the words of its chosen blocks. Documents without words leave."""
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    names = [f"kept_{i}" for i in range(len(keep))]
+    renamed = docs.select("doc_id", "source", *(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), F.col("source").alias("_src"), *([F.col("text")] if "text" not in names else []))
+    planned = plan(renamed, keep=("_src", *names), **options)
+    at = names[keep.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at, 8 << 20):
+            get = {f: batch.column(i).to_pylist() for i, f in enumerate(batch.schema.names) if f in (at, "size", "begin", "end", "words", "blocks", "seats", "shift", "times")}
+            row, texts = [], []
+            for i in range(batch.num_rows):
+                if not get["size"][i]:
+                    continue
+                n, total = get["blocks"][i], get["words"][i]
+                whole, extra = divmod(get["seats"][i], n)
+                row += [i] * whole
+                texts += [get[at][i]] * whole
+                if extra:
+                    begin, end = get["begin"][i], get["end"][i]
+                    j = np.arange(max(0, begin * n // total - 1), min(n, end * n // total + 2))
+                    j = j[(j * get["times"][i] + get["shift"][i]) % n < extra]
+                    a, b = np.maximum(j * total // n, begin) - begin, np.minimum((j + 1) * total // n, end) - begin
+                    a, b = a[a < b], b[a < b]
+                    if len(a):
+                        raw = get[at][i].encode()
+                        s, e, _ = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                        first = np.append(True, a[1:] != b[:-1])
+                        k = np.flatnonzero(first)
+                        a, b = a[k], b[np.append(k[1:], len(b)) - 1]
+                        row.append(i)
+                        texts.append("\n".join(raw[x:y].decode() for x, y in zip(s[a].tolist(), e[b - 1].tolist(), strict=True)))
+            made = batch.take(pa.array(row, pa.int64()))
+            cols = {f: made.column(i) for i, f in enumerate(made.schema.names)}
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([cols[c] for c in ("doc_id", "_src", *names)], names=["doc_id", "_src", *names])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in planned.select("doc_id", "_src", *names).schema)
+    out = planned.mapInArrow(run, kinds)
+    back = {"doc_id": F.col("doc_id"), "source": F.col("_src").alias("source")} | {c: F.col(k).alias(c) for c, k in zip(keep, names, strict=True)}
+    if "n_chars" in keep:
+        back["n_chars"] = F.length(at).cast("long").alias("n_chars")
+    return out.select(*(back[c] for c in docs.columns))

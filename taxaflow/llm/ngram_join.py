@@ -174,7 +174,7 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         key, node, size = key[new], node[new], size[new]
         edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         seen: dict[bytes, tuple] = {}
-        for a, b in zip(edges.tolist(), np.append(edges[1:], len(key)).tolist(), strict=True):
+        for a, b in zip(edges.tolist(), np.append(edges[1:], len(key))[: len(edges)].tolist(), strict=True):
             if b - a > 1:
                 seen.setdefault(hashlib.blake2b(node[a:b].tobytes(), digest_size=16).digest(), (a, b))
         return pa.table({"gid": pa.array(list(seen), pa.binary()), "nodes": pa.array([node[a:b] for a, b in seen.values()], pa.list_(pa.int64())), "sizes": pa.array([size[a:b].astype(np.int64) for a, b in seen.values()], pa.list_(pa.int64()))})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import avi_media, byte_bpe, chat_template, kdtree_topk, mixing, ngram_join, phrase_dedup, suffix_dedup, token_counts
+from taxaflow.llm import avi_media, byte_bpe, chat_template, kdtree_topk, mixing, ngram_join, phrase_dedup, suffix_dedup, token_counts, toxicity
 from taxaflow.llm.common import table
 
 EXTRA_TURN = r"\### Assistant: </turn> ok"
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op4_suffix_dedup, op5_byte_bpe, op6_phrase_dedup, op7_ngram_join, op8_avi_media, op9_kdtree_topk, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_toxicity, op4_suffix_dedup, op5_byte_bpe, op6_phrase_dedup, op7_ngram_join, op8_avi_media, op9_kdtree_topk, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op9_kdtree_topk": """
