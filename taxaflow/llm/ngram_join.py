@@ -8,8 +8,9 @@ the rare class are indexed alone; tokens of the frequent class only as pairs. If
 is a common key; if both are frequent, their pair is. Every other pair of sets is never looked at.
 
 Sets that are equal are one node from the start, so copies are never joined. The nodes under a key form a group; equal
-groups are one. Links are verified exactly, in two rounds: first every member with its group's first member; then, after
-components are known, only pairs of members still in different components whose sizes allow a link. A group of near
+groups are one. Pairs whose sizes or token counts by cell (256 bytes a node) rule a link out are
+dropped; the others are verified exactly, in two rounds: first every member with its group's first member; then, after
+components are known, only pairs of members still in different components. A group of near
 copies so costs its size, not its square, and no link between components is lost.
 
 Null text has an empty set. Empty sets and rows without doc_id link with nothing (component_id is their doc_id). Rows
@@ -23,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.llm.common import byte_values, ensure_checkpoint_dir, mix, parts_for, range_hashes, slices, utf8_buffers
 from taxaflow.llm.components import connected_components
 from taxaflow.llm.phrase_dedup import normal
-from taxaflow.llm.windows import doc_bucket, pack, unpack
+from taxaflow.llm.windows import doc_bucket, pack, packed_texts, unpack
 
 CELLS = 22
 PIECES = 16
+BLOCK = 4096
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -63,6 +66,11 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def cells_of(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of 256 cells, at most 255: two sets differ in at least as many tokens as their cells differ."""
+    return np.minimum(np.bincount((tokens >> np.uint64(20)) & np.uint64(255), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def prefix_keys(tokens: np.ndarray, counts: np.ndarray, frequent: int, num: int, den: int) -> np.ndarray:
     """Index keys of one set: rare tokens of its extended prefix, and pairs of the frequent ones."""
     n = len(tokens)
@@ -123,13 +131,13 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     shipped = spark.sparkContext.broadcast(counts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: a row for each document. Kind 1: postings (key, node, size), packed by bucket."""
+        """Kind 0: a row for each document, with its cells. Kind 1: postings (key, node, size), packed by bucket."""
         counts = shipped.value
         for batch in slices(batches, "text", 8 << 20):
             sets = shingle_sets(*utf8_buffers(batch.column(1)), k)
             nodes = [node_of(s) if len(s) else None for s in sets]
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([cells_of(s) for s in sets], pa.binary())], names=names)
             seen: dict[int, np.ndarray] = {}
             ids = batch.column(0).is_valid().to_pylist()
             for s, node, known in zip(sets, nodes, ids, strict=True):
@@ -181,13 +189,27 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
 
     groups = made.where("bucket >= 0").select("bucket", "blob").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(second, "gid binary, nodes array<long>, sizes array<long>")
     groups = groups.dropDuplicates(["gid"]).checkpoint()
-    fits = F.col("m") * den >= F.col("n") * num  # m <= n
-    star = groups.select(F.col("nodes")[0].alias("u"), F.col("sizes")[0].alias("m"), F.explode(F.arrays_zip(F.slice("nodes", 2, F.size("nodes") - 1).alias("v"), F.slice("sizes", 2, F.size("sizes") - 1).alias("n"))).alias("x"))
-    star = star.select("u", F.col("x.v").alias("v"), "m", F.col("x.n").alias("n")).where(fits).select("u", "v").distinct().checkpoint()
-    # the sets of all members, from one document of each
     members = groups.select(F.explode("nodes").alias("node")).distinct()
     least = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    wanted = least.join(members, "node").select(F.col("least").alias("doc_id"), "node")
+    cells = made.where("bucket < 0 and node is not null and doc_id is not null").select("node", F.col("blob").alias("cells")).join(members, "node", "left_semi").groupBy("node").agg(F.first("cells").alias("cells"))
+    flat = groups.select("gid", F.col("nodes")[0].alias("head"), F.ceil(F.size("nodes") / BLOCK).cast("int").alias("blocks"), F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("sizes").alias("size"))).alias("x"))
+    flat = flat.select("gid", "head", "blocks", "x.node", "x.size").join(cells, "node").checkpoint()
+
+    def near(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+        """Whether cells allow the sets of ny tokens to link with one of nx: they differ in no more tokens than a linked pair may."""
+        total = nx + ny
+        room = total - 2 * -(-total * num // (num + den))
+        return np.abs(y.astype(np.int16) - x.astype(np.int16)).sum(1, dtype=np.int64) <= room
+
+    def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, m, n, a, b = (batch.column(i).to_pylist() for i in range(6))
+            hit = [i for i in range(len(u)) if m[i] * den >= n[i] * num and n[i] * den >= m[i] * num and near(np.frombuffer(a[i], np.uint8), m[i], np.frombuffer(b[i], np.uint8)[None], np.array([n[i]]))[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in hit], pa.int64()), pa.array([v[i] for i in hit], pa.int64())], names=["u", "v"])
+
+    heads = flat.where("node = head").select("gid", F.col("size").alias("m"), F.col("cells").alias("a"))
+    star = flat.where("node <> head").join(heads, "gid").select(F.col("head").alias("u"), F.col("node").alias("v"), "m", F.col("size").alias("n"), "a", F.col("cells").alias("b"))
+    star = star.mapInArrow(with_head, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
 
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
         want: dict[int, set] = {}
@@ -196,17 +218,21 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         pick = [j for j, i in enumerate(left.column("doc_id").to_pylist()) if i in want]
         out: dict[int, bytes] = {}
         if pick:
-            part = left.take(pick).combine_chunks()
-            batch = part.to_batches()[0]
-            column = batch.column(batch.schema.get_field_index("text"))
-            for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(*utf8_buffers(column), k), strict=True):
+            part = left.take(pick)
+            texts = [zstandard.decompress(t) for t in part.column("packed").to_pylist()]
+            off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(np.frombuffer(b"".join(texts), np.uint8), off, k), strict=True):
                 if len(s) and (x := node_of(s)) in want[i]:
                     out[x] = s.tobytes()
         return pa.table({"node": pa.array(list(out), pa.int64()), "tokens": pa.array(list(out.values()), pa.binary())})
 
-    texts = docs.select("doc_id", "text", doc_bucket(F.col("doc_id"), groups_n).alias("grp")).where("doc_id is not null").repartition(tasks, "grp")
-    asked = wanted.withColumn("grp", doc_bucket(F.col("doc_id"), groups_n)).repartition(tasks, "grp")
-    sets = texts.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(third, "node long, tokens binary").checkpoint()
+    texts = packed_texts(docs.where("doc_id is not null"), groups_n).repartition(tasks, "grp")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes in pairs, each from one document."""
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        asked = least.join(nodes, "node").select(F.col("least").alias("doc_id"), "node").withColumn("grp", doc_bucket(F.col("doc_id"), groups_n)).repartition(tasks, "grp")
+        return texts.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(third, "node long, tokens binary").checkpoint()
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose sets link."""
@@ -223,35 +249,45 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
                         vs.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
+        sets = sets_of(pairs)
         one = sets.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
         two = sets.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
         return pairs.join(one, "v").join(two, "u").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
     links = verify(star).checkpoint()
     labels = connected_components(links)
-    flat = groups.select("gid", F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("sizes").alias("size"))).alias("x")).select("gid", "x.node", "x.size")
-    flat = flat.join(labels, "node", "left").select("gid", "node", "size", F.coalesce("label", "node").alias("label"))
+    flat = flat.join(labels, "node", "left").select("gid", "blocks", "node", "size", "cells", F.coalesce("label", "node").alias("label"))
     mixed = flat.groupBy("gid").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gid")
+    # a group's members are dealt to blocks, and every two blocks meet in a task of bounded size
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = flat.join(mixed, "gid", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "cells", "label")
 
     def across(group: pa.Table) -> pa.Table:
-        """Pairs of members of different components whose sizes allow a link, in blocks of rows."""
-        node, size, label = (group.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "label"))
-        order = np.lexsort((node, size))
-        node, size, label = node[order], size[order], label[order]
-        last = np.searchsorted(size * num, size * den, side="right")
+        """Pairs of members of different components that sizes and cells don't rule out."""
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block, node, size, label = (group.column(c).to_numpy().astype(np.int64) for c in ("own", "node", "size", "label"))
+        cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint8).reshape(-1, 256)
+        order = np.argsort(size, kind="stable")
+        left, right = order[block[order] == i], order[block[order] == j]
+        low = np.searchsorted(size[right] * den, size[left] * num, side="left")
+        high = np.searchsorted(size[right] * num, size[left] * den, side="right")
         us, vs = [], []
-        for i in range(len(node)):
-            j = np.arange(i + 1, last[i])
-            j = j[label[j] != label[i]]
-            us.append(np.full(len(j), node[i]))
-            vs.append(node[j])
-        return pa.table({"u": pa.array(np.concatenate(us), pa.int64()), "v": pa.array(np.concatenate(vs), pa.int64())})
-
-    rest = flat.join(mixed, "gid", "left_semi").groupBy("gid").applyInArrow(across, "u long, v long")
+        for k, a, b in zip(left.tolist(), low.tolist(), high.tolist(), strict=True):
+            other = right[a:b]
+            other = other[(label[other] != label[k]) & (node[other] > node[k] if i == j else True)]
+            if len(other):
+                other = other[near(cells[k], size[k], cells[other], size[other])]
+                us.append(np.full(len(other), node[k]))
+                vs.append(node[other])
+        none = np.zeros(0, np.int64)
+        return pa.table({"u": pa.array(np.concatenate(us or [none]), pa.int64()), "v": pa.array(np.concatenate(vs or [none]), pa.int64())})
+
+    rest = met.groupBy("gid", "i", "j").applyInArrow(across, "u long, v long")
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = rest.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    more = verify(rest).checkpoint()
-    if more.isEmpty():
+    rest = rest.join(star, ["u", "v"], "left_anti").checkpoint()
+    more = verify(rest).checkpoint() if not rest.isEmpty() else None
+    if more is None or more.isEmpty():
         final = labels
     else:
         final = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))

@@ -13,6 +13,7 @@ groups of bounded size). A bucket or group holds a few MB whatever the table's s
 
 from __future__ import annotations
 
+import bz2
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,13 +36,14 @@ def doc_buckets(ids: np.ndarray, n: int) -> np.ndarray:
     return ids % _PRIME * 2654435761 % _PRIME % n
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays))
+def pack(*arrays: np.ndarray, tight: bool = False) -> bytes:
+    """Arrays in one compressed blob. tight: bzip2, which halves text fragments once more than fast codecs do; shuffles here are bounded by disk, not by CPU."""
+    data = np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes() + b"".join(x.tobytes() for x in arrays)
+    return b"b" + bz2.compress(data, 9) if tight else b"z" + zstandard.compress(data, 3)
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
+    data = bz2.decompress(blob[1:]) if blob[:1] == b"b" else zstandard.decompress(blob[1:])
     sizes = np.frombuffer(data, "<i8", len(kinds), 8).tolist()
     out, at = [], 8 + 8 * len(kinds)
     for size, kind in zip(sizes, kinds, strict=True):
@@ -82,8 +84,8 @@ def segments(grams: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tupl
     return first, np.diff(np.append(at, len(starts))), np.searchsorted(bounds, first, side="right") - 1, (of[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), of[at] >> np.uint64(32)
 
 
-#: What a blob of segments holds: documents' ids and checksums; and for each segment its document, first unit, windows, minimizer offset, whether it is decided, bytes of content; the content.
-BLOB = ("<i8", "<u4", "<u4", "<u4", "<u2", "<u2", "u1", "<u4", "u1")
+#: What a blob of segments holds: documents' ids, checksums and numbers of segments; of each segment the step of its first unit, its windows and the minimizer's place; which are decided; the bytes of content of the others beyond the least such number; the content.
+BLOB = ("<i8", "<u4", "<u4", "<u4", "<u2", "<u2", "u1", "<i8", "<u4", "u1")
 
 
 def emit(first: np.ndarray, n: np.ndarray, doc: np.ndarray, least: np.ndarray, code: np.ndarray, bounds: np.ndarray, same: np.ndarray, ids: np.ndarray, sums: np.ndarray, content_at: np.ndarray, content_len: np.ndarray, raw: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -95,14 +97,18 @@ def emit(first: np.ndarray, n: np.ndarray, doc: np.ndarray, least: np.ndarray, c
     decided = np.empty(len(order), bool)
     decided[order] = ids[doc[order]] > smallest
     bucket = ((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((code, bucket))
+    order = np.argsort(bucket, kind="stable")  # segments come in the order of their documents
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         s = order[a:b]
-        used, local = np.unique(doc[s], return_inverse=True)
-        open_ = ~decided[s]
-        size = np.where(open_, content_len[s], 0)
-        yield int(bucket[s[0]]), pack(ids[used].astype("<i8"), sums[used].astype("<u4"), local.astype("<u4"), (first[s] - bounds[doc[s]]).astype("<u4"), n[s].astype("<u2"), (least[s] - first[s]).astype("<u2"), decided[s].astype("u1"), size.astype("<u4"), raw[ragged(content_at[s], size)])
+        used, at, many = np.unique(doc[s], return_index=True, return_counts=True)
+        step = np.diff(first[s] - bounds[doc[s]], prepend=0)
+        step[at] = first[s][at] - bounds[used]
+        open_ = s[~decided[s]]
+        size = content_len[open_]
+        extra = size - n[open_]
+        floor = int(extra.min()) if len(extra) else 0
+        yield int(bucket[s[0]]), pack(ids[used].astype("<i8"), sums[used].astype("<u4"), many.astype("<u4"), step.astype("<u4"), n[s].astype("<u2"), (least[s] - first[s]).astype("<u2"), np.packbits(decided[s]), np.array([floor], "<i8"), (extra - floor).astype("<u4") if len(extra) and extra.max() > floor else np.zeros(0, "<u4"), raw[ragged(content_at[open_], size)], tight=True)
 
 
 class Bucket:
@@ -111,8 +117,15 @@ class Bucket:
     def __init__(self, blobs: list[bytes]):
         cols: list[list[np.ndarray]] = [[] for _ in range(8)]
         for blob in blobs:
-            ids, sums, local, first, n, offset, decided, size, content = unpack(blob, *BLOB)
-            for c, x in zip(cols, (ids[local], sums[local], first.astype(np.int64), n.astype(np.int64), offset.astype(np.int64), decided.astype(bool), size.astype(np.int64), content), strict=True):
+            ids, sums, many, step, n, offset, bits, floor, extra, content = unpack(blob, *BLOB)
+            n = n.astype(np.int64)
+            decided = np.unpackbits(bits, count=len(n)).astype(bool)
+            total = np.cumsum(step.astype(np.int64))
+            begin = np.cumsum(many.astype(np.int64)) - many
+            first = total - np.repeat(total[begin] - step[begin], many)
+            size = np.zeros(len(n), np.int64)
+            size[~decided] = n[~decided] + floor[0] + (extra if len(extra) else 0)
+            for c, x in zip(cols, (np.repeat(ids, many), np.repeat(sums, many), first, n, offset.astype(np.int64), decided, size, content), strict=True):
                 c.append(x)
         self.doc, self.sum, self.first, self.n, self.offset, decided, self.size, self.content = (np.concatenate(c) for c in cols)
         self.decided = np.flatnonzero(decided)
@@ -147,13 +160,27 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at], b[np.append(at[1:], len(a)) - 1]
 
 
+def packed_texts(docs: DataFrame, groups: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, grp, packed (the text as UTF-8, zstandard) and the columns in keep: what is shuffled where texts meet findings about them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=9).compress
+        for batch in slices(batches, "text", 4 << 20):
+            raw, off = utf8_buffers(batch.column(2))
+            data = [squeeze(raw[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary()), *batch.columns[3:]], names=["doc_id", "grp", "packed", *keep])
+
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
+    return docs.select("doc_id", doc_bucket(F.col("doc_id"), groups).alias("grp"), "text", *keep).mapInArrow(run, "doc_id long, grp int, packed binary" + kinds)
+
+
 def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], Iterator[tuple[int, bytes]]], decide: Callable[[Bucket, int], pa.Table], finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: pa.Schema, keep: tuple[str, ...] = ()) -> DataFrame:
     """The three steps. cut: (bytes, offsets, ids, checksums, buckets) of a slice -> blobs; decide: a bucket -> packed spans;
     finish: (text as UTF-8, span starts, span ends) -> result values. Columns in keep pass through as they are."""
-    buckets = parts_for(docs, 1 << 20)
+    buckets = parts_for(docs, 2 << 20)
     groups = parts_for(docs, 2 << 20)
     tasks = parts_for(docs, 8 << 20, 12)
-    limit = min(24 << 20, max(4 << 20, buckets << 13))
+    limit = min(24 << 20, max(6 << 20, buckets << 14))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", limit):
@@ -181,15 +208,15 @@ def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.nd
                 spans[int(ids[x]), int(sums[x])] = merged(a[x:y], b[x:y])
         none = np.zeros(0, np.int64)
         rows = []
-        for i, t in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True):
-            text = (t or "").encode()
+        for i, t in zip(left.column("doc_id").to_pylist(), left.column("packed").to_pylist(), strict=True):
+            text = zstandard.decompress(t)
             rows.append(finish(text, *spans.get((i, zlib.crc32(text)), (none, none))))
         made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), result, strict=True)] if rows else [pa.array([], f.type) for f in result]
         return pa.table([*(left.column(c) for c in ("doc_id", *keep)), *made], names=["doc_id", *keep, *result.names])
 
     pieces = docs.select("doc_id", "text").mapInArrow(first, "bucket int, blob binary").repartition(tasks, "bucket")
     spans = pieces.groupBy("bucket").applyInArrow(second, "grp int, blob binary").repartition(tasks, "grp")
-    texts = docs.select("doc_id", "text", *keep, doc_bucket(F.col("doc_id"), groups).alias("grp")).repartition(tasks, "grp")
+    texts = packed_texts(docs, groups, keep).repartition(tasks, "grp")
     kinds = ["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)] if keep else ["doc_id long"]
     sql = {pa.int64(): "long", pa.string(): "string"}
     kinds += [f"{f.name} {sql[f.type]}" for f in result]
