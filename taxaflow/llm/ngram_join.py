@@ -261,13 +261,16 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     # a group's members are dealt to blocks, and every two blocks meet in a task of bounded size
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = flat.join(mixed, "gid", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "cells", "label")
+    # a pair is looked at under the least of its common keys only; a node has few keys (its prefix)
+    keys = flat.groupBy("node").agg(F.collect_list(F.xxhash64("gid")).alias("keys"))
+    met = met.join(keys, "node").select("gid", F.xxhash64("gid").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "cells", "label", "keys")
 
     def across(group: pa.Table) -> pa.Table:
         """Pairs of members of different components that sizes and cells don't rule out."""
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         block, node, size, label = (group.column(c).to_numpy().astype(np.int64) for c in ("own", "node", "size", "label"))
         cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint8).reshape(-1, 256)
+        key, keys = group.column("key")[0].as_py(), [frozenset(x) for x in group.column("keys").to_pylist()]
         order = np.argsort(size, kind="stable")
         left, right = order[block[order] == i], order[block[order] == j]
         low = np.searchsorted(size[right] * den, size[left] * num, side="left")
@@ -278,6 +281,8 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
             other = other[(label[other] != label[k]) & (node[other] > node[k] if i == j else True)]
             if len(other):
                 other = other[near(cells[k], size[k], cells[other], size[other])]
+                mine = keys[k]
+                other = other[np.fromiter((min(mine & keys[o]) == key for o in other.tolist()), bool, len(other))]
                 us.append(np.full(len(other), node[k]))
                 vs.append(node[other])
         none = np.zeros(0, np.int64)
