@@ -128,6 +128,17 @@ def marginals(emit: np.ndarray, bounds: np.ndarray, trans: np.ndarray, first: np
     return post, pair[:, :, row[inner], col[inner]].sum(2)
 
 
+def in_batches(emit: np.ndarray, bounds: np.ndarray, trans: np.ndarray, first: np.ndarray, pairs: bool = True, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """marginals() over `size` documents at a time, for bounded memory."""
+    out, two = np.empty(len(emit)), np.zeros((2, 2))
+    for a in range(0, len(bounds) - 1, size):
+        part = bounds[a : a + size + 1]
+        p, q = marginals(emit[part[0] : part[-1]], part - part[0], trans, first, pairs)
+        out[part[0] : part[-1]] = p
+        two += q
+    return out, two
+
+
 def chunk_posteriors(emit: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
     return marginals(emit, bounds, model.trans, model.first, pairs=False)[0]
 
@@ -158,7 +169,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 6) ->
     cells = features(raw, start, end)
     n = len(texts)
     # label tokens: share of toxic documents among those that hold the feature, by log-odds against all
-    odds = np.full((len(start), cells.shape[1]), -9.0)
+    odds = np.full(len(start), -9.0)
     held_by = toxic[doc]
     near = np.append(0, cells[:-1, 0]) % 4093  # the word before: copies of one text repeat it, a word in use doesn't
 
@@ -174,8 +185,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 6) ->
         pairs = np.unique((cells[:, k].astype(np.int64) * 4093 + near) * 2 + held_by)
         _, also = more_often(pairs // 2 // 4093, (pairs & 1).astype(bool), float(np.clip(held_by.mean(), 0.01, 0.99)))
         lift[chance | also] = -9
-        odds[:, k] = lift[cells[:, k]]
-    label = toxic[doc] & (odds.max(1) > 3.0)
+        odds = np.maximum(odds, lift[cells[:, k]])
+    label = toxic[doc] & (odds > 3.0)
     bounds = np.searchsorted(doc, np.arange(n + 1))
     first_token = bounds[:-1][np.diff(bounds) > 0]
     inner = np.ones(len(start), bool)
@@ -194,8 +205,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 6) ->
     trans[:, 1] = bias
     speed = np.full(1 << BITS, 1e-8)
     for _ in range(rounds):
-        emit = theta[cells].sum(1)
-        p, pairs = marginals(emit, bounds, trans, first)
+        emit = sum(theta[cells[:, k]] for k in range(4))
+        p, pairs = in_batches(emit, bounds, trans, first)
         diff = label - p
         g = sum(np.bincount(cells[:, k], diff, 1 << BITS) for k in range(4)) - 0.02 * theta
         speed += g * g
@@ -204,7 +215,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 6) ->
         trans[:, 1] += np.clip(gp[:, 1] / np.maximum(0.05, np.abs(gp[:, 1]) * 4 + rate), -0.5, 0.5)
         first[1] += np.clip((y[first_token].mean() - p[first_token].mean()) / 0.05, -0.5, 0.5)
     model.weights, model.trans, model.first = theta.astype(np.float16), trans, first
-    p, _ = marginals(model.weights[cells].sum(1, dtype=np.float64), bounds, trans, first, pairs=False)
+    p, _ = in_batches(sum(model.weights[cells[:, k]].astype(np.float64) for k in range(4)), bounds, trans, first, pairs=False)
     x = np.column_stack([document_values(p, doc, n), np.ones(n)])
     t = toxic.astype(float)
     # each class weighs as among all labels
@@ -219,7 +230,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 6) ->
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1000) -> Model:
     """Train on a bounded sample of labelled rows that aren't held out. docs may be fewer than the labels."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
