@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from taxaflow.llm.common import byte_values, mix, ragged, range_hashes
 from taxaflow.llm.windows import Bucket, emit, remove_repeats, segments, spans_out
 
-LENGTH, K = 50, 12
+LENGTH, K = 50, 8
 _MASK = np.array([0] + [(1 << 64) - (1 << 8 * (8 - k)) for k in range(1, 9)], np.uint64)
 
 
@@ -153,9 +153,7 @@ def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buc
     if len(raw) < LENGTH:
         return
     padded = np.concatenate([raw, np.zeros(16, np.uint8)]).tobytes()
-    words = np.ndarray((len(raw) + 4,), "<u8", padded, 0, (1,))
-    with np.errstate(over="ignore"):
-        grams = words[: len(raw)] * np.uint64(0xC2B2AE3D27D4EB4F) + words[4 : len(raw) + 4] * np.uint64(0x165667B19E3779F9)
+    grams = np.ndarray((len(raw),), "<u8", padded, 0, (1,))
     first, n, doc, least, code = segments(grams, off, LENGTH, K)
     if len(first):
         same = range_hashes(byte_values(raw), first, first + n + LENGTH - 1)
@@ -174,8 +172,8 @@ def decide(bucket: Bucket, groups: int) -> pa.Table:
     least = np.full(n_texts, np.iinfo(np.int64).max)
     np.minimum.at(least, text, doc)
     copies = doc > least[text]
-    # distinct segments: windows whose context recurs around the minimizer. One with o >= 19 bytes left of it holds
-    # [m - 19, m + 12), any other [m, m + 31)
+    # distinct segments: windows whose context recurs around the minimizer. One with o >= 21 bytes left of it holds
+    # [m - 21, m + 8), any other [m, m + 29)
     rep = np.empty(n_texts, np.int64)
     rep[text] = np.arange(len(items))
     t_at, t_size, t_n, m = at[rep], size[rep], bucket.n[items][rep], bucket.offset[items][rep]
@@ -193,11 +191,11 @@ def decide(bucket: Bucket, groups: int) -> pa.Table:
         out[who] = count[inv] > 1
         return out
 
-    side_a = recurs(m >= 19, (-19, -11, -3, 4))
-    side_b = recurs(m + 31 <= t_size, (0, 8, 16, 23))
+    side_a = recurs(m >= 21, (-21, -13, -5, 0))
+    side_b = recurs(m + 29 <= t_size, (0, 8, 16, 21))
     # window start s has o = m - s bytes left of the minimizer
-    low = np.where(side_a, 0, np.maximum(m - 18, 0))
-    high = np.where(side_b, t_n, np.minimum(np.maximum(m - 18, 0), t_n))
+    low = np.where(side_a, 0, np.maximum(m - 20, 0))
+    high = np.where(side_b, t_n, np.minimum(np.maximum(m - 20, 0), t_n))
     count = np.where(side_a | side_b, np.maximum(high - low, 0), 0)
     owner = np.repeat(np.arange(n_texts), count)
     start = ragged(low, count)

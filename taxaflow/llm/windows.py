@@ -13,7 +13,6 @@ groups of bounded size). A bucket or group holds a few MB whatever the table's s
 
 from __future__ import annotations
 
-import bz2
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,14 +35,14 @@ def doc_buckets(ids: np.ndarray, n: int) -> np.ndarray:
     return ids % _PRIME * 2654435761 % _PRIME % n
 
 
-def pack(*arrays: np.ndarray, tight: bool = False) -> bytes:
-    """Arrays in one compressed blob. tight: bzip2, which halves text fragments once more than fast codecs do; shuffles here are bounded by disk, not by CPU."""
+def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
+    """Arrays in one compressed blob."""
     data = np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes() + b"".join(x.tobytes() for x in arrays)
-    return b"b" + bz2.compress(data, 9) if tight else b"z" + zstandard.compress(data, 3)
+    return zstandard.compress(data, level)
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    data = bz2.decompress(blob[1:]) if blob[:1] == b"b" else zstandard.decompress(blob[1:])
+    data = zstandard.decompress(blob)
     sizes = np.frombuffer(data, "<i8", len(kinds), 8).tolist()
     out, at = [], 8 + 8 * len(kinds)
     for size, kind in zip(sizes, kinds, strict=True):
@@ -108,7 +107,7 @@ def emit(first: np.ndarray, n: np.ndarray, doc: np.ndarray, least: np.ndarray, c
         size = content_len[open_]
         extra = size - n[open_]
         floor = int(extra.min()) if len(extra) else 0
-        yield int(bucket[s[0]]), pack(ids[used].astype("<i8"), sums[used].astype("<u4"), many.astype("<u4"), step.astype("<u4"), n[s].astype("<u2"), (least[s] - first[s]).astype("<u2"), np.packbits(decided[s]), np.array([floor], "<i8"), (extra - floor).astype("<u4") if len(extra) and extra.max() > floor else np.zeros(0, "<u4"), raw[ragged(content_at[open_], size)], tight=True)
+        yield int(bucket[s[0]]), pack(ids[used].astype("<i8"), sums[used].astype("<u4"), many.astype("<u4"), step.astype("<u4"), n[s].astype("<u2"), (least[s] - first[s]).astype("<u2"), np.packbits(decided[s]), np.array([floor], "<i8"), (extra - floor).astype("<u4") if len(extra) and extra.max() > floor else np.zeros(0, "<u4"), raw[ragged(content_at[open_], size)], level=9)
 
 
 class Bucket:
