@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import byte_values, ensure_checkpoint_dir, mix, parts_for, range_hashes, slices, utf8_buffers
+from taxaflow.llm.common import byte_values, ensure_checkpoint_dir, mix, parts_for, ragged, range_hashes, slices, utf8_buffers
 from taxaflow.llm.components import connected_components
 from taxaflow.llm.phrase_dedup import normal
 from taxaflow.llm.windows import doc_bucket, pack, packed_texts, unpack
@@ -199,7 +199,7 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         """Whether cells allow the sets of ny tokens to link with one of nx: they differ in no more tokens than a linked pair may."""
         total = nx + ny
         room = total - 2 * -(-total * num // (num + den))
-        return np.abs(y.astype(np.int16) - x.astype(np.int16)).sum(1, dtype=np.int64) <= room
+        return (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= room
 
     def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,21 +270,40 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         block, node, size, label = (group.column(c).to_numpy().astype(np.int64) for c in ("own", "node", "size", "label"))
         cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint8).reshape(-1, 256)
-        key, keys = group.column("key")[0].as_py(), [frozenset(x) for x in group.column("keys").to_pylist()]
+        coarse = cells.reshape(-1, 16, 16).sum(2, dtype=np.uint16)
+        # a pair that also meets under a smaller key is left to that key: smaller keys of each member, by local number
+        key, keys = group.column("key")[0].as_py(), group.column("keys").combine_chunks()
+        flat_keys, ends = keys.values.to_numpy(), keys.offsets.to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(node)), np.diff(ends))
+        flat_keys = flat_keys[ends[0] : ends[-1]]
+        smaller = flat_keys < key
+        owner, (_, local) = owner[smaller], np.unique(flat_keys[smaller], return_inverse=True)
+        begin = np.searchsorted(owner, np.arange(len(node) + 1))
+        marked = np.zeros(int(local.max()) + 1 if len(local) else 1, np.int64)
         order = np.argsort(size, kind="stable")
         left, right = order[block[order] == i], order[block[order] == j]
+        many = (begin[1:] - begin[:-1])[right]
+        right_keys = local[ragged(begin[:-1][right], many)]
+        right_at = np.append(0, np.cumsum(many))
         low = np.searchsorted(size[right] * den, size[left] * num, side="left")
         high = np.searchsorted(size[right] * num, size[left] * den, side="right")
         us, vs = [], []
         for k, a, b in zip(left.tolist(), low.tolist(), high.tolist(), strict=True):
+            if a >= b:
+                continue
+            mine = local[begin[k] : begin[k + 1]]
+            marked[mine] = 1
+            met_before = np.append(0, np.cumsum(marked[right_keys[right_at[a] : right_at[b]]]))
+            at = right_at[a : b + 1] - right_at[a]
+            free = met_before[at[1:]] == met_before[at[:-1]]
+            marked[mine] = 0
             other = right[a:b]
-            other = other[(label[other] != label[k]) & (node[other] > node[k] if i == j else True)]
-            if len(other):
-                other = other[near(cells[k], size[k], cells[other], size[other])]
-                mine = keys[k]
-                other = other[np.fromiter((min(mine & keys[o]) == key for o in other.tolist()), bool, len(other))]
-                us.append(np.full(len(other), node[k]))
-                vs.append(node[other])
+            other = other[free & (label[other] != label[k]) & (node[other] > node[k] if i == j else True)]
+            for sums in (coarse, cells):
+                if len(other):
+                    other = other[near(sums[k], size[k], sums[other], size[other])]
+            us.append(np.full(len(other), node[k]))
+            vs.append(node[other])
         none = np.zeros(0, np.int64)
         return pa.table({"u": pa.array(np.concatenate(us or [none]), pa.int64()), "v": pa.array(np.concatenate(vs or [none]), pa.int64())})
 
