@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WIDTH = 10
-HITS = "read long, strand int, hit int, seq long, offset int, length int"
+HITS = "read long, strand int, hit int, seq long, offset int, length int, occurrences long"
 _FLIP = str.maketrans("ACGT", "TGCA")
 
 
@@ -122,8 +122,8 @@ class Index:
             found.add(self.seqs[max(0, bisect_right(self.starts, self.order[r] + self.width + 1) - 1)])
         return found
 
-    def hits(self, read: str, least: int, most: int) -> Iterator[tuple[int, int, int, int, int]]:
-        """(strand, hit, seq, offset from the read's end, length)."""
+    def hits(self, read: str, least: int, most: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(strand, hit, seq, offset from the read's end, length, occurrences in the text)."""
         n = len(read)
         back = "".join(c if c in "ACGT" else "N" for c in read).translate(_FLIP)[::-1]
         for strand, s in ((1, read.encode()), (-1, back.encode())):
@@ -133,7 +133,7 @@ class Index:
                 length, low, high = self.longest_suffix(s, end)
                 if length >= least and low < high:
                     for seq in sorted(self.owners(low, high, most)):
-                        yield strand, k, seq, n - end, length
+                        yield strand, k, seq, n - end, length, high - low
                     k += 1
                 end -= length + 1
 
@@ -151,6 +151,6 @@ def search(reads: DataFrame, text: DataFrame, least: int, k: int = 1, factor: in
         for batch in batches:
             rows = [(i, *h) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h in index.hits(s or "", least, k * factor)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 
     return reads.select(F.col("read").cast("long"), "seq").mapInArrow(run, HITS)

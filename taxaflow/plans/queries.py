@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxaflow.functions import kernels, read_format
 from taxaflow.functions import sequence as S
+from taxaflow.operators import classify as C
+from taxaflow.operators import prepare as P
+from taxaflow.operators import reads as B
 from taxaflow.operators import results as R
 from taxaflow.operators import search as X
 from taxaflow.operators import taxonomy as T
+from taxaflow.sources import sinks
 
 ROOT, SUPPLIER = 1, 10_000_000
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,6 +61,12 @@ LCA = f"""{NODES}, t AS (SELECT DISTINCT readid, taxid FROM hits), c AS (
   SELECT m.readid AS read, COALESCE(max_by(f.anc, f.h), {ROOT}) AS lca FROM m LEFT JOIN (SELECT c.readid, c.c, anc, h FROM c JOIN height ON anc = tax_id) f ON f.readid = m.readid AND f.c = m.m GROUP BY ALL
 )"""
 
+LINE_HITS = """h AS (
+  SELECT l_orderkey AS read, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END AS strand, l_linenumber AS hit, l_suppkey % 2 AS seq, l_linenumber * 31 AS off, CASE WHEN CAST(l_quantity AS INTEGER) < 35 THEN 30 ELSE CAST(l_quantity AS INTEGER) END AS len
+  FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)
+)"""
+BARCODE = "translate(lpad(CAST({} % 1000000 AS VARCHAR), 6, '0'), '0123456789', 'ACGTACGTAC')"
+
 
 def tax_closure(spark: SparkSession, d: str) -> DataFrame:
     return T.closure(nodes(spark, d))
@@ -131,7 +142,63 @@ def read_search(spark: SparkSession, d: str) -> DataFrame:
     return X.search(reads, X.genome_text(genomes), 23)
 
 
-QUERIES = {f.__name__: f for f in (tax_closure, tax_lca, tax_promote, tax_reduce_to_3, tax_lineage, tax_subtree, clade_report, clade_report_shared, taxon_sizes, hit_scores, coalesced_assignments, reverse_complements, quant_report, read_search)}
+def classified_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages as reads, documents as genomes of the nations' taxa."""
+    n = nodes(spark, d)
+    genomes = _table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("name"), (100 + F.pmod("doc_id", F.lit(25))).alias("tax_id"), _dna("text").alias("bases"))
+    reads = _table(spark, d, "benchmark").select(F.col("item_id").alias("read"), F.col("item_id").cast("string").alias("id"), _dna("text").alias("seq")).withColumn("query_length", F.length("seq"))
+    hits = X.search(reads.select("read", "seq"), X.genome_text(genomes.select("seq", "bases")), 23).withColumn("mate", F.lit(1))
+    return C.classify(reads, hits, genomes, n, T.closure(n), ROOT)
+
+
+def low_complexity_masks(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "benchmark").select("item_id", kernels.dust(_dna("text")).alias("masked"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as hits 31 bases apart, so those of 30 are neighbours."""
+    no, size = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    items = _table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.min("l_suppkey").alias("l_suppkey"))
+    return items.select(F.col("l_orderkey").alias("read"), F.lit(1).alias("mate"), F.when(no % 3 == 0, -1).otherwise(1).alias("strand"), no.alias("hit"), (F.col("l_suppkey") % 2).alias("seq"), (no * 31).cast("int").alias("offset"), F.when(size < 35, 30).otherwise(size).alias("length"), F.lit(1).cast("long").alias("occurrences"))
+
+
+def chosen_strands(spark: SparkSession, d: str) -> DataFrame:
+    return C.choose_strand(_hits(spark, d)).select("read", "hit", "seq", "pool", "mixed")
+
+
+def joined_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = _hits(spark, d).withColumn("pool", F.col("strand")).withColumn("mixed", F.lit(False))
+    return C.sequence_scores(C.join_adjacent(hits)).select("read", "pool", "seq", "score", "hit_length")
+
+
+def _barcode(key: str) -> F.Column:
+    return F.translate(F.lpad((F.col(key) % 1_000_000).cast("string"), 6, "0"), "0123456789", "ACGTACGTAC")
+
+
+def corrected_barcodes(spark: SparkSession, d: str) -> DataFrame:
+    codes = _table(spark, d, "part").select(F.lit(0).alias("file_no"), F.col("p_partkey").alias("read_no"), _barcode("p_partkey").alias("barcode"), F.lit(None).cast("string").alias("qual"))
+    listed = _table(spark, d, "supplier").select(_barcode("s_suppkey").alias("barcode"))
+    return B.correct_barcodes(codes, B.barcode_counts(listed, codes, None)).select("read_no", "barcode", "corrected")
+
+
+def read_segments(spark: SparkSession, d: str) -> DataFrame:
+    f = read_format.parse("r1:5:-6:-,bc:0:9;bc:-4:-1,um:hd:1:1:3")
+    seq, text = _dna("text"), F.col("text")
+    return _table(spark, d, "benchmark").select("item_id", *[read_format.extract(f[p], seq, text).alias(p) for p in ("r1", "bc", "um")])
+
+
+def report_lineages(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d)
+    return sinks.lineage_of(n, T.closure(n), ROOT)
+
+
+def lineage_tree(spark: SparkSession, d: str) -> DataFrame:
+    both = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return P.tree_from_lineages(both.select(F.col("n_nationkey").alias("row_no"), F.concat(F.lit("d__"), "r_name", F.lit(";p__"), "n_name").alias("lineage"))).select("tax_id", "parent_id", "rank", "name")
+
+
+MORE = (classified_reads, low_complexity_masks, chosen_strands, joined_hits, corrected_barcodes, read_segments, report_lineages, lineage_tree)
+QUERIES = {f.__name__: f for f in (tax_closure, tax_lca, tax_promote, tax_reduce_to_3, tax_lineage, tax_subtree, clade_report, clade_report_shared, taxon_sizes, hit_scores, coalesced_assignments, reverse_complements, quant_report, read_search, *MORE)}
 
 SQL = {
     "tax_closure": f"WITH RECURSIVE {NODES} SELECT tax_id, anc, CAST(depth AS INTEGER) AS depth FROM up",
@@ -159,5 +226,27 @@ FROM r WINDOW w AS (PARTITION BY read) QUALIFY r = 1""",
   SELECT l_orderkey AS read, l_suppkey + {SUPPLIER} AS tax, CAST(l_extendedprice AS BIGINT) AS score, floor(l_tax * 1000000) AS second, CAST(l_quantity AS INTEGER) AS len, l_linenumber AS no FROM lineitem WHERE CAST(l_quantity AS INTEGER) >= 10
 ), g AS (SELECT read, string_agg(CAST(tax AS VARCHAR), ',' ORDER BY no, tax) AS targets, arg_min(score, row(no, tax, score, second, len)) AS score, arg_min(second, row(no, tax, score, second, len)) AS second, arg_min(len, row(no, tax, score, second, len)) AS len FROM x GROUP BY read)
 SELECT targets, round(sum(CASE WHEN 50 - len < 0 THEN 1.0 ELSE pow(0.25, least(50 - len, 11)) END), 8) AS weight, CAST(count(*) AS DOUBLE) AS cnt, sum(CASE WHEN score > second THEN 1.0 ELSE 0.0 END)::DOUBLE AS uniq FROM g GROUP BY targets""",
+    "chosen_strands": f"""WITH {LINE_HITS}, s AS (
+  SELECT *, sum(CASE WHEN strand = 1 THEN (len - 15) * (len - 15) ELSE 0 END) OVER w AS p, sum(CASE WHEN strand = -1 THEN (len - 15) * (len - 15) ELSE 0 END) OVER w AS m FROM h WINDOW w AS (PARTITION BY read)
+), c AS (SELECT *, CASE WHEN p > m + m // 100 THEN 1 WHEN m > p + p // 100 THEN -1 ELSE 0 END AS one FROM s)
+SELECT read, hit, seq, strand AS pool, one = 0 AS mixed FROM c WHERE one = 0 OR one = strand""",
+    "joined_hits": f"""WITH {LINE_HITS}, g AS (
+  SELECT *, CASE WHEN lag(seq) OVER w = seq AND lag(off) OVER w + lag(len) OVER w + 1 = off THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY read, strand ORDER BY hit, seq)
+), p AS (SELECT *, sum(new) OVER (PARTITION BY read, strand ORDER BY hit, seq ROWS UNBOUNDED PRECEDING) AS part FROM g), t AS (SELECT read, strand, seq, part, sum(len) AS len FROM p GROUP BY ALL)
+SELECT read, strand AS pool, seq, CAST(sum((len - 15) * (len - 15)) AS BIGINT) AS score, CAST(sum(len) AS BIGINT) AS hit_length FROM t GROUP BY read, strand, seq""",
+    "corrected_barcodes": f"""WITH b AS (SELECT p_partkey AS read_no, {BARCODE.format("p_partkey")} AS barcode FROM part),
+listed AS (SELECT DISTINCT {BARCODE.format("s_suppkey")} AS w FROM supplier), n AS (SELECT w, count(read_no) AS n FROM listed LEFT JOIN b ON w = barcode GROUP BY w),
+near AS (SELECT DISTINCT barcode, a AS pos, c AS base, substr(barcode, 1, CAST(a AS BIGINT) - 1) || c || substr(barcode, CAST(a AS BIGINT) + 1) AS w FROM (SELECT DISTINCT barcode FROM b) CROSS JOIN range(1, 7) r(a) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) v(c)),
+f AS (SELECT barcode, w, row_number() OVER (PARTITION BY barcode ORDER BY n DESC, pos, base) AS r FROM near JOIN n USING (w))
+SELECT read_no, b.barcode, CASE WHEN l.w IS NOT NULL THEN b.barcode ELSE COALESCE(f.w, 'N') END AS corrected FROM b LEFT JOIN listed l ON l.w = b.barcode LEFT JOIN f ON f.barcode = b.barcode AND f.r = 1""",
+    "read_segments": f"""WITH t AS (SELECT item_id, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS s, regexp_split_to_array(text, '[ \t]') AS words FROM benchmark)
+SELECT item_id, reverse(translate(substr(s, 6, length(s) - 10), 'ACGT', 'TGCA')) AS r1, substr(s, 1, 10) || right(s, 4) AS bc, substr(COALESCE(words[2], ''), 2, 3) AS um FROM t""",
+    "report_lineages": f"""WITH RECURSIVE {NODES} SELECT up.tax_id, string_agg(n.name, '|' ORDER BY depth DESC) AS names, string_agg(CAST(n.tax_id AS VARCHAR), '|' ORDER BY depth DESC) AS ids,
+  string_agg(CASE n.rank WHEN 'superkingdom' THEN 'd' ELSE substr(n.rank, 1, 1) END || '__' || n.name, '|' ORDER BY depth DESC) AS prefixed FROM up JOIN nodes n ON n.tax_id = up.anc WHERE n.rank <> 'no rank' GROUP BY up.tax_id""",
+    "lineage_tree": """WITH s AS (
+  SELECT r_name AS name, 'd' AS p, '' AS above, min(n_nationkey) AS no, 0 AS deep FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+  UNION ALL SELECT n_name, 'p', r_name, n_nationkey, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
+), i AS (SELECT *, CAST(9999999 + row_number() OVER (ORDER BY no, deep) AS BIGINT) AS id FROM s)
+SELECT i.id AS tax_id, COALESCE(j.id, 1) AS parent_id, CASE i.p WHEN 'd' THEN 'domain' ELSE 'phylum' END AS rank, i.name FROM i LEFT JOIN i j ON i.p = 'p' AND j.p = 'd' AND j.name = i.above""",
     "reverse_complements": f"SELECT doc_id, md5(reverse(translate(regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g'), 'ACGT', 'TGCA'))) AS md5 FROM documents",
 }
