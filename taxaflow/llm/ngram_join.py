@@ -1,4 +1,6 @@
-"""N-gram Jaccard join by token-combination prefixes: documents whose sets of word shingles have Jaccard >= 90 %.
+"""N-gram Jaccard join by token-combination prefixes: documents whose sets of k-word shingles have Jaccard >= num / den.
+
+link_components() (op7) takes 3 words and 90 %, keep_one() (the pipeline) 5 words and 80 %. The text below writes 0.9.
 
 Tokens are 64-bit hashes of k-word shingles. A fixed-size table of counts over all documents (2^22 cells, whatever the
 corpus) orders them: rare cells first, ties by hash. Any one order is right; counts only make it selective.
@@ -320,8 +322,8 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     return rows.join(component, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """documents with one row of each component: the one whose doc_id is the component's. Rows without doc_id stay; of rows that share that doc_id, one stays."""
-    kept = link_components(docs).where("component_id = doc_id").select("doc_id").distinct()
+    kept = link_components(docs, k, num, den).where("component_id = doc_id").select("doc_id").distinct()
     some = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
     return some.unionByName(docs.where("doc_id is null"))

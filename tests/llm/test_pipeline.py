@@ -52,3 +52,21 @@ def test_stages(spark, tmp_path):
     assert got == {k: v for k, v in taken.items() if v}
     assert len(coded) == len(mixed)
     assert sorted(r.decoded_sha256 for r in cp.run(spark, str(tmp_path)).collect()) == sorted(r.decoded_sha256 for r in coded)
+
+
+def test_near_copies_between_the_thresholds(spark):
+    rng = random.Random(10)
+    words = [f"w{i}q" for i in range(3000)]
+    rows = []
+    for base in (0, 10, 20):
+        t = rng.sample(words, 200)
+        near, far = list(t), list(t)
+        for i in range(4):  # 5 words: 176 of 216, 3 words: 186 of 210
+            near[20 + 40 * i] = f"near{base}x{i}"
+        for i in range(5):  # 5 words: 171 of 221
+            far[15 + 38 * i] = f"far{base}x{i}"
+        rows += [(base, " ".join(t)), (base + 1, " ".join(near)), (base + 2, " ".join(far))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {0, 2, 10, 12, 20, 22}
+    assert {r.doc_id for r in cp.ngram_join.keep_one(docs, 3, 90, 100).collect()} == {i for i, _ in rows}
