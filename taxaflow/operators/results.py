@@ -122,16 +122,40 @@ def quant_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Data
     return out.select("name", F.col("tax_id").alias("taxID"), F.col("rank").alias("taxRank"), F.coalesce("length", F.lit(1_000_000)).alias("genomeSize"), F.floor(F.col("reads") + 1e-3).cast("int").alias("numReads"), F.floor(F.col("uniq") + 1e-3).cast("int").alias("numUniqueReads"), F.coalesce("abundance", F.lit(0.0)).alias("abundance"))
 
 
-def clade_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, root: int, with_lca: bool = True) -> DataFrame:
-    """tax_id, clade_reads, own_reads, percent: each read at its LCA, or shared by its taxa."""
-    known = rows.select(F.col("readID").alias("read"), F.col("taxID").alias("tax_id"))
-    known = known.join(nodes.select("tax_id", F.lit(True).alias("there")), "tax_id", "left").select("read", F.when(F.col("there"), F.col("tax_id")).otherwise(F.lit(root)).alias("tax_id"))
+def clade_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, root: int, with_lca: bool = True, zeros: bool = False, scores: bool = False) -> DataFrame:
+    """tax_id, clade_reads, own_reads, percent: each read at its LCA, or shared by its taxa.
+
+    Taxon 0 is unclassified: a row of its own outside the tree, where there are such reads; beside other taxa of a read
+    it counts only without LCA. zeros adds the tree's clades without reads. scores adds the best score of each clade: a
+    read's is that of its first row by row_no if there is one, and it counts with LCA only; elsewhere the score is 0.
+    """
+    keep = ["score"] if scores else []
+    order = ["row_no"] if scores and "row_no" in rows.columns else []
+    known = rows.select(F.col("readID").alias("read"), F.col("taxID").alias("tax_id"), *keep, *order)
+    known = known.join(nodes.select("tax_id", F.lit(True).alias("there")), "tax_id", "left")
+    known = known.select("read", F.when(F.col("there") | (F.col("tax_id") == 0), F.col("tax_id")).otherwise(F.lit(root)).alias("tax_id"), *keep, *order)
     if with_lca:
-        own = T.lca(known, up, root).groupBy(F.col("lca").alias("tax_id")).agg(F.count(F.lit(1)).cast("double").alias("own_reads"))
+        some = known.where("tax_id <> 0")
+        none = known.where("tax_id = 0").select("read").distinct().join(some, "read", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("own_reads")).where("own_reads > 0")
+        at = T.lca(some.select("read", "tax_id"), up, root).select("read", F.col("lca").alias("tax_id"))
+        own = at.groupBy("tax_id").agg(F.count(F.lit(1)).cast("double").alias("own_reads"))
+        own = own.unionByName(none.select(F.lit(0).cast("long").alias("tax_id"), "own_reads"))
     else:
         many = known.groupBy("read").agg(F.count(F.lit(1)).alias("m"))
         own = known.join(many, "read").groupBy("tax_id").agg(F.sum(1 / F.col("m")).alias("own_reads"))
-    clades = T.roll_up(own.withColumnRenamed("own_reads", "clade_reads"), up, "clade_reads")
+    counts = own.withColumnRenamed("own_reads", "clade_reads")
+    clades = T.roll_up(counts.where("tax_id <> 0"), up, "clade_reads").unionByName(counts.where("tax_id = 0"))
+    if zeros:
+        tree = up.where(F.col("anc") == root).select("tax_id")
+        clades = tree.join(clades, "tax_id", "full").select("tax_id", F.coalesce("clade_reads", F.lit(0.0)).alias("clade_reads"))
     total = own.agg(F.sum("own_reads").alias("total"))  # one row
-    out = clades.join(own, "tax_id", "left").crossJoin(F.broadcast(total))
-    return out.select("tax_id", "clade_reads", F.coalesce("own_reads", F.lit(0.0)).alias("own_reads"), (100 * F.col("clade_reads") / F.col("total")).alias("percent"))
+    out = clades.join(own, "tax_id", "left")
+    if scores and with_lca:
+        first = known.groupBy("read").agg((F.min_by("score", "row_no") if order else F.max("score")).alias("score"))
+        best = first.join(at, "read").groupBy("tax_id").agg(F.max("score").alias("score"))
+        out = out.join(best.join(up, "tax_id").groupBy(F.col("anc").alias("tax_id")).agg(F.max("score").alias("score")), "tax_id", "left")
+    elif scores:
+        out = out.withColumn("score", F.lit(0).cast("long"))
+    out = out.crossJoin(F.broadcast(total))
+    extra = [F.coalesce("score", F.lit(0)).alias("score")] if scores else []
+    return out.select("tax_id", "clade_reads", F.coalesce("own_reads", F.lit(0.0)).alias("own_reads"), F.coalesce(100 * F.col("clade_reads") / F.col("total"), F.lit(0.0)).alias("percent"), *extra)

@@ -53,14 +53,25 @@ def cami(report: DataFrame, lineages: DataFrame) -> DataFrame:
 
 
 def clade_tree(report: DataFrame, nodes: DataFrame, up: DataFrame) -> DataFrame:
-    """(path, tax_id, depth, name, rank, percent, clade_reads, own_reads): ordering by path walks the tree depth first, larger clades first."""
-    counts = report.select(F.col("tax_id").alias("anc"), F.col("clade_reads").alias("c"))
+    """(path, tax_id, depth, name, rank, percent, clade_reads, own_reads, and score if the report has it): ordering by path walks the tree depth first, larger clades first. Unclassified reads (taxon 0) are before the tree."""
+    counts = report.select(F.col("tax_id").alias("anc"), F.col("clade_reads").alias("c")).where("anc <> 0")
     steps = up.join(counts, "anc").groupBy("tax_id").agg(F.sort_array(F.collect_list(F.struct(F.col("depth"), (-F.col("c")).alias("c"), "anc")), asc=False).alias("s"))
-    rows = report.join(steps, "tax_id").join(nodes.select("tax_id", "name", "rank"), "tax_id")
-    return rows.select(F.transform("s", lambda x: F.struct(x["c"].alias("c"), x["anc"].alias("anc"))).alias("path"), "tax_id", (F.size("s") - 1).alias("depth"), "name", "rank", "percent", "clade_reads", "own_reads")
-
-
-def clade_lines(tree: DataFrame) -> DataFrame:
-    """The tree as report lines in order: percent, clade reads, own reads, rank letter, id, indented name."""
-    letter = F.when(F.col("rank").isin("species", "genus", "family", "order", "class", "phylum", "kingdom"), F.upper(F.substring("rank", 1, 1))).when(F.col("rank").isin("superkingdom", "domain", "acellular root"), F.lit("D")).otherwise(F.lit("-"))
-    return tree.orderBy("path").select(F.concat_ws("\t", F.format_string("%6.2f", "percent"), F.format_string("%.0f", "clade_reads"), F.format_string("%.0f", "own_reads"), letter, F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name")).alias("value"))
+    rows = report.where("tax_id <> 0").join(steps, "tax_id").join(nodes.select("tax_id", "name", "rank"), "tax_id")
+    values = ["percent", "clade_reads", "own_reads", *(["score"] if "score" in report.columns else [])]
+    tree = rows.select(F.transform("s", lambda x: F.struct(x["c"].alias("c"), x["anc"].alias("anc"))).alias("path"), "tax_id", (F.size("s") - 1).alias("depth"), "name", "rank", *values)
+    path = F.array(F.struct(F.lit(float("-inf")).alias("c"), F.lit(0).cast("long").alias("anc")))
+    none = report.where("tax_id = 0").select(path.alias("path"), "tax_id", F.lit(0).alias("depth"), F.lit("unclassified").alias("name"), F.lit("unclassified").alias("rank"), *values)
+    return none.unionByName(tree)
+
+
+def clade_lines(tree: DataFrame, unclassified: bool = False) -> DataFrame:
+    """The tree as report lines in order: percent, clade reads, own reads, rank letter, id, indented name, score if there is one. unclassified = True: that line comes first even if no read is."""
+    if unclassified:
+        line = {"tax_id": F.lit(0), "depth": F.lit(0), "name": F.lit("unclassified"), "rank": F.lit("unclassified")}
+        types = dict(tree.dtypes)
+        path = F.array(F.struct(F.lit(float("-inf")).alias("c"), F.lit(0).cast("long").alias("anc")))
+        none = tree.sparkSession.range(1).select(*[path.alias(c) if c == "path" else line.get(c, F.lit(0)).cast(types[c]).alias(c) for c in tree.columns])
+        tree = tree.unionByName(none.join(tree.where("tax_id = 0").select("tax_id"), "tax_id", "left_anti"))
+    letter = F.when(F.col("rank").isin("species", "genus", "family", "order", "class", "phylum", "kingdom"), F.upper(F.substring("rank", 1, 1))).when(F.col("rank").isin("superkingdom", "domain", "acellular root"), F.lit("D")).when(F.col("tax_id") == 0, F.lit("U")).otherwise(F.lit("-"))
+    score = [F.col("score").cast("string")] if "score" in tree.columns else []
+    return tree.orderBy("path").select(F.concat_ws("\t", F.format_string("%6.2f", "percent"), F.format_string("%.0f", "clade_reads"), F.format_string("%.0f", "own_reads"), letter, F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name"), *score).alias("value"))

@@ -160,3 +160,21 @@ def test_stream(spark, tmp_path):
     q = classify_stream(spark.readStream.schema("read long, seq string").parquet(src), lambda b: b.select("read", F.length("seq").alias("n")), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
     q.awaitTermination(60)
     assert sorted((r.read, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 4), (2, 2)]
+
+
+def test_report_of_unclassified_reads_zeros_and_scores(spark):
+    n = spark.createDataFrame(NODES, "tax_id long, parent_id long, rank string, name string")
+    up = T.closure(n).persist()
+    rows = spark.createDataFrame([("p", 4, 90, 0), ("q", 4, 40, 0), ("q", 5, 70, 1), ("r", 0, 8, 0), ("s", 99, 5, 0), ("t", 0, 0, 0), ("t", 5, 0, 1), ("u", 0, 0, 0)], "readID string, taxID long, score long, row_no long")
+    report = results.clade_report(rows, n, up, 1)
+    assert {r.tax_id: (r.clade_reads, r.own_reads, round(r.percent, 2)) for r in report.collect()} == {0: (2, 2, 33.33), 1: (4, 1, 66.67), 2: (3, 0, 50), 3: (3, 1, 50), 4: (1, 1, 16.67), 5: (1, 1, 16.67)}
+    shared = results.clade_report(rows, n, up, 1, with_lca=False)
+    assert {r.tax_id: r.own_reads for r in shared.collect()} == {0: 2.5, 1: 1, 2: 0, 3: 0, 4: 1.5, 5: 1}
+    full = results.clade_report(rows, n, up, 1, zeros=True, scores=True)
+    lines = [r.value.split("\t") for r in sinks.clade_lines(sinks.clade_tree(full, n, up)).collect()]
+    assert lines[0] == [" 33.33", "2", "2", "U", "0", "unclassified", "0"]
+    assert [(x[1], x[3], x[4], x[6]) for x in lines[1:]] == [("4", "-", "1", "90"), ("3", "D", "2", "90"), ("3", "G", "3", "90"), ("1", "S", "4", "90"), ("1", "S", "5", "0"), ("0", "S", "6", "0")]
+    assert {r.score for r in results.clade_report(rows, n, up, 1, with_lca=False, scores=True).collect()} == {0}
+    some = sinks.clade_tree(results.clade_report(rows.where("readID = 'p'"), n, up, 1), n, up)
+    assert [r.value.split("\t")[1:] for r in sinks.clade_lines(some, unclassified=True).collect()][0] == ["0", "0", "U", "0", "unclassified"]
+    assert sinks.clade_lines(some).count() == 4 and sinks.clade_lines(sinks.clade_tree(report, n, up), unclassified=True).count() == 6
