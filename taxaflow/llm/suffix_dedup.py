@@ -1,7 +1,8 @@
 """Suffix-array dedup: every byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
-Segments (see windows.py) of a bucket are suffix-sorted by deep-shallow sorting. Shallow: multikey quicksort with
-eight-byte characters, all open groups split at once, down to `shallow` bytes. Deep: each group that still agrees there is
+Segments (see windows.py) of a bucket are suffix-sorted by deep-shallow sorting. Shallow, in place of multikey
+quicksort: a vectorised sort (np.lexsort) of all open groups at once by eight-byte words, down to `shallow` bytes; no pivot
+and no three-way partition, and the same order. Deep (groups of two are compared outright): each group that still agrees there is
 ordered by a blind trie, a Patricia tree that stores only branching positions and compares a string once, with the leaf
 its branching bytes lead to. Sorting first orders whole segments (equal neighbours are copies), then the window suffixes
 of distinct segments whose context around the minimizer recurs; the first suffix of a run of equal ones with the
