@@ -50,6 +50,18 @@ def low_complexity(seqs: list[str], window: int = 64, threshold: float = 2.0) ->
         yield covered[a:b]
 
 
+def _parts(texts: list[str], bases: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in order, a list closed once it has so many bases: memory follows it, not the batch."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t)
+        if n >= bases:
+            yield part
+            part, n = [], 0
+    yield part
+
+
 def dust(seq: Column) -> Column:
     """The sequence with low-complexity bases as N; null stays null."""
 
@@ -57,7 +69,7 @@ def dust(seq: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         texts = [x or "" for x in s]
         out = []
-        for old, text, mask in zip(s, texts, low_complexity(texts), strict=True):
+        for old, text, mask in zip(s, texts, (m for part in _parts(texts) for m in low_complexity(part)), strict=True):
             a = np.frombuffer(text.encode("latin-1", "replace"), np.uint8).copy()
             a[mask] = 78
             out.append(None if old is None else a.tobytes().decode("latin-1"))

@@ -187,6 +187,18 @@ def read_segments(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "benchmark").select("item_id", *[read_format.extract(f[p], seq, text).alias(p) for p in ("r1", "bc", "um")])
 
 
+def document_masks(spark: SparkSession, d: str) -> DataFrame:
+    """low_complexity_masks over documents."""
+    return _table(spark, d, "documents").select("doc_id", F.md5(kernels.dust(_dna("text"))).alias("md5"))
+
+
+def document_segments(spark: SparkSession, d: str) -> DataFrame:
+    """read_segments over documents."""
+    f = read_format.parse("r1:5:-6:-,bc:0:9;bc:-4:-1,um:hd:1:1:3")
+    seq, text = _dna("text"), F.col("text")
+    return _table(spark, d, "documents").select("doc_id", *[read_format.extract(f[p], seq, text).alias(p) for p in ("r1", "bc", "um")])
+
+
 def report_lineages(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
     return sinks.lineage_of(n, T.closure(n), ROOT)
@@ -197,7 +209,7 @@ def lineage_tree(spark: SparkSession, d: str) -> DataFrame:
     return P.tree_from_lineages(both.select(F.col("n_nationkey").alias("row_no"), F.concat(F.lit("d__"), "r_name", F.lit(";p__"), "n_name").alias("lineage"))).select("tax_id", "parent_id", "rank", "name")
 
 
-MORE = (classified_reads, low_complexity_masks, chosen_strands, joined_hits, corrected_barcodes, read_segments, report_lineages, lineage_tree)
+MORE = (classified_reads, low_complexity_masks, chosen_strands, joined_hits, corrected_barcodes, read_segments, document_masks, document_segments, report_lineages, lineage_tree)
 QUERIES = {f.__name__: f for f in (tax_closure, tax_lca, tax_promote, tax_reduce_to_3, tax_lineage, tax_subtree, clade_report, clade_report_shared, taxon_sizes, hit_scores, coalesced_assignments, reverse_complements, quant_report, read_search, *MORE)}
 
 SQL = {
@@ -241,6 +253,8 @@ f AS (SELECT barcode, w, row_number() OVER (PARTITION BY barcode ORDER BY n DESC
 SELECT read_no, b.barcode, CASE WHEN l.w IS NOT NULL THEN b.barcode ELSE COALESCE(f.w, 'N') END AS corrected FROM b LEFT JOIN listed l ON l.w = b.barcode LEFT JOIN f ON f.barcode = b.barcode AND f.r = 1""",
     "read_segments": f"""WITH t AS (SELECT item_id, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS s, regexp_split_to_array(text, '[ \t]') AS words FROM benchmark)
 SELECT item_id, reverse(translate(substr(s, 6, length(s) - 10), 'ACGT', 'TGCA')) AS r1, substr(s, 1, 10) || right(s, 4) AS bc, substr(COALESCE(words[2], ''), 2, 3) AS um FROM t""",
+    "document_segments": f"""WITH t AS (SELECT doc_id, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS s, regexp_split_to_array(text, '[ \t]') AS words FROM documents)
+SELECT doc_id, reverse(translate(substr(s, 6, greatest(length(s) - 10, 0)), 'ACGT', 'TGCA')) AS r1, substr(s, 1, 10) || right(s, 4) AS bc, substr(COALESCE(words[2], ''), 2, 3) AS um FROM t""",
     "report_lineages": f"""WITH RECURSIVE {NODES} SELECT up.tax_id, string_agg(n.name, '|' ORDER BY depth DESC) AS names, string_agg(CAST(n.tax_id AS VARCHAR), '|' ORDER BY depth DESC) AS ids,
   string_agg(CASE n.rank WHEN 'superkingdom' THEN 'd' ELSE substr(n.rank, 1, 1) END || '__' || n.name, '|' ORDER BY depth DESC) AS prefixed FROM up JOIN nodes n ON n.tax_id = up.anc WHERE n.rank <> 'no rank' GROUP BY up.tax_id""",
     "lineage_tree": """WITH s AS (

@@ -1,5 +1,6 @@
 """Read preparation, classification, index, sinks, database preparation and streaming on small inputs."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -178,3 +179,21 @@ def test_report_of_unclassified_reads_zeros_and_scores(spark):
     some = sinks.clade_tree(results.clade_report(rows.where("readID = 'p'"), n, up, 1), n, up)
     assert [r.value.split("\t")[1:] for r in sinks.clade_lines(some, unclassified=True).collect()][0] == ["0", "0", "U", "0", "unclassified"]
     assert sinks.clade_lines(some).count() == 4 and sinks.clade_lines(sinks.clade_tree(report, n, up), unclassified=True).count() == 6
+
+
+def test_masks_and_segments_over_documents(spark, tmp_path):
+    from taxaflow.plans import queries as Q
+
+    rng = random.Random(7)
+    letters = "abcdefghijkl"
+    texts = ["a" * 60, None, "", "ab", "".join(rng.choice(letters) for _ in range(200_000)), "one two three four five"] + ["".join(rng.choice(letters) for _ in range(30_000)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    masks = {r.doc_id: r.md5 for r in Q.QUERIES["document_masks"](spark, str(tmp_path)).collect()}
+    alone = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", Q._dna("text").alias("s")).collect()
+    for r in alone:
+        mask = next(kernels.low_complexity([r.s or ""]))
+        want = None if r.s is None else hashlib.md5("".join("N" if m else c for c, m in zip(r.s, mask, strict=True)).encode()).hexdigest()
+        assert masks[r.doc_id] == want
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.sql(f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, Q.QUERIES["document_segments"](spark, str(tmp_path)).collect())) == sorted(duckdb.sql(Q.SQL["document_segments"]).fetchall())
