@@ -32,7 +32,7 @@ def rank_level(rank: Column) -> Column:
 
 
 def closure(nodes: DataFrame, most: int = 12) -> DataFrame:
-    """(tax_id, anc, depth) with every node's own row. Each round doubles the steps covered; it ends when nothing new appears."""
+    """(tax_id, anc, depth) with every node's own row. Each round doubles the steps covered; it ends when nothing new appears. Steps beyond 2 ** most raise an error."""
     step = nodes.where("tax_id <> parent_id").select("tax_id", F.col("parent_id").alias("anc"))
     known = nodes.select("tax_id", F.col("tax_id").alias("anc"), F.lit(0).alias("depth"))
     jump, size = step, 1
@@ -43,6 +43,9 @@ def closure(nodes: DataFrame, most: int = 12) -> DataFrame:
         known = known.unionByName(far)
         jump = jump.alias("a").join(jump.alias("b"), F.col("a.anc") == F.col("b.tax_id")).select(F.col("a.tax_id").alias("tax_id"), F.col("b.anc").alias("anc"))
         size *= 2
+    else:
+        if not jump.isEmpty():
+            raise RuntimeError(f"a lineage of {size} steps or more, or a cycle")
     return known
 
 

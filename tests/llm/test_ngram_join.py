@@ -71,3 +71,9 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 300), (300, 250)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 300: 200, 250: 200}
+
+
+def test_components_cut_off_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected_components(edges, most=1)

@@ -97,3 +97,12 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in tables.names_dmp(spark, str(tmp_path / "names.dmp")).collect()] == [(5, "Long_name")]
     (tmp_path / "r.fq").write_text("@a/1 c x\nAC\nGT\n+\n@@\nII\n@b\nAA\n+\nII\n>f\nACG\nT\n@bad\nACG\n+\nI\n")
     assert [tuple(r)[1:] for r in tables.fastx(spark, str(tmp_path / "r.fq")).collect()] == [(0, "a", "c x", "ACGT", "@@II"), (1, "b", "", "AA", "II"), (2, "f", "", "ACGT", None)]
+
+
+def test_closure_of_a_tall_tree_or_a_cycle(spark):
+    chain = spark.createDataFrame([(i, max(i - 1, 1)) for i in range(1, 6)], "tax_id long, parent_id long")  # 4 steps
+    assert T.closure(chain, most=3).count() == 15 and T.closure(chain.where("tax_id < 5"), most=2).count() == 10
+    with pytest.raises(RuntimeError, match="4 steps"):
+        T.closure(chain, most=2)
+    with pytest.raises(RuntimeError, match="cycle"):
+        T.closure(spark.createDataFrame([(2, 3), (3, 2)], "tax_id long, parent_id long"), most=2)
