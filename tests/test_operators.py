@@ -106,3 +106,15 @@ def test_closure_of_a_tall_tree_or_a_cycle(spark):
         T.closure(chain, most=2)
     with pytest.raises(RuntimeError, match="cycle"):
         T.closure(spark.createDataFrame([(2, 3), (3, 2)], "tax_id long, parent_id long"), most=2)
+
+
+def test_bench_times_every_query(spark, monkeypatch, capsys):
+    import json
+
+    import bench
+
+    names = ["pipeline", "read_search", "classified_reads", "tax_lca"]
+    monkeypatch.setenv("BENCH_CPUS", "4")
+    monkeypatch.setattr(bench.entry, "queries", lambda: {n: lambda s, d: s.range(1) for n in names})
+    bench.main()
+    assert list(json.loads(capsys.readouterr().out)["queries"]) == names
