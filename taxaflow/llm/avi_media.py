@@ -295,7 +295,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 d = differences[at : at + n - 1]
                 cuts = shots(d)
                 at += n
-                feature = f"frames={n};clips={len(cuts) + 1};cuts={','.join(map(str, cuts[:16]))};difference={int(d.sum())};sum={sum(own)}"
+                feature = f"frames={n};clips={len(cuts) + 1};cuts={','.join(map(str, cuts))};difference={int(d.sum())};sum={sum(own)}"
                 rows.append((int(size[i]), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             cols = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

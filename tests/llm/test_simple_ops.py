@@ -180,3 +180,9 @@ def test_sainte_lague_is_highest_quotient(spark):
         for _ in range(seats):
             want[max(range(13), key=lambda k: (votes[k] / (2 * want[k] + 1), -k))] += 1
         assert got == want
+
+
+def test_feature_lists_every_cut(spark):
+    text = ("a" * (avi_media.FRAME * 10) + "z" * (avi_media.FRAME * 10)) * 10
+    feature = avi_media.media_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().feature
+    assert f";clips=20;cuts={','.join(map(str, range(10, 200, 10)))};" in feature
