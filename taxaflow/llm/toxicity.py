@@ -8,23 +8,29 @@ scan over each document's chunks, then the messages inside the chunks. A logisti
 fitted on the training documents and corrected to the labels' own share of toxic rows, gives the score.
 
 Training reads a bounded sample: up to `most` toxic and 2 * `most` other labelled rows, those of least crc32(doc_id),
-held-out rows excluded. Scoring is one narrow pass over all documents; the model is 8 MB.
+held-out rows excluded. Its whole texts stay on the executors, in slices of 2 MB: statistics and gradients are summed
+there by piece of the weight table, and the driver holds one weight a feature. Scoring is one narrow pass over all
+documents; the model is 8 MB. A text is one unit of work, however long.
 
 Null text is empty; an empty text scores like a text without toxic tokens. Labels that are null or without a document are
-not used; with no labels of both kinds every score is the share of toxic labels (0 if none). Extra columns are ignored.
+not used; with no labels of both kinds every score is the share of toxic labels (0 if none). Rows whose crc32 is equal
+are taken in the order of their doc_id; of rows that share a doc_id each is trained on and scored. An empty table gives
+no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import mix, slices, utf8_buffers
+from taxaflow.llm.common import ensure_checkpoint_dir, mix, slices, utf8_buffers
+from taxaflow.llm.windows import pack, unpack
 
 BITS = 22
 CHUNK = 128
@@ -159,67 +165,161 @@ def document_values(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.log1p(total), most, np.minimum(total, 4)], axis=1)
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 6) -> Model:
-    """A model from labelled texts; share: toxic rows among all labels."""
+#: Pieces of the weight table that are summed side by side; partitions of the labelled sample.
+PIECES, PARTS = 16, 24
+#: A token of a toxic document is labelled toxic where its feature's odds are e ** LIFT times the sample's and ERRORS standard errors above them.
+LIFT, ERRORS = 3.0, 4.0
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(feature cells, document of each token, each document's first token and the end, toxic by document, documents) of a batch of (toxic, text)."""
+    raw, off = utf8_buffers(batch.column(1))
+    start, end, doc = tokens_of(raw, off)
+    n = batch.num_rows
+    return features(raw, start, end), doc, np.searchsorted(doc, np.arange(n + 1)), batch.column(0).to_numpy() == 1, n
+
+
+def _reduced(rows: DataFrame, work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], add: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, values, totals) over the sample. work: a slice's (cells, one row of values a cell, totals); add: (cells, values, totals) of all slices in one piece -> (cells, values) of that piece.
+
+    Tasks read slices of bounded bytes; their values meet by piece of the table, in a fixed order, and only one row a cell reaches the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, "text", 2 << 20)):
+            cells, values, totals = work(batch)
+            order = np.argsort(cells, kind="stable")
+            cells, values = cells[order], values[order]
+            edges = np.searchsorted(cells, np.arange(PIECES + 1) << (BITS - 4))
+            blobs = [pack(cells[a:b].astype("<u4"), values[a:b].astype("<f8"), totals.astype("<f8")) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([part + k] * PIECES, pa.int64()), pa.array(blobs, pa.binary())], names=["piece", "at", "blob"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        parts = [unpack(b, "<u4", "<f8", "<f8") for _, b in sorted(zip(group.column("at").to_pylist(), group.column("blob").to_pylist(), strict=True))]
+        totals = np.sum([t for _, _, t in parts], axis=0)
+        cells = np.concatenate([c for c, _, _ in parts])
+        found, out = add(cells, np.concatenate([v for _, v, _ in parts]).reshape(len(cells), -1), totals)
+        return pa.table({"piece": group.column("piece").slice(0, 1), "blob": pa.array([pack(found.astype("<u4"), out.astype("<f4"), totals)], pa.binary())})
+
+    got = rows.mapInArrow(run, "piece int, at long, blob binary").groupBy("piece").applyInArrow(meet, "piece int, blob binary").collect()  # 16 rows
+    parts = [unpack(bytes(r["blob"]), "<u4", "<f4", "<f8") for r in sorted(got, key=lambda r: r["piece"])]
+    cells = np.concatenate([c for c, _, _ in parts])
+    return cells, np.concatenate([v for _, v, _ in parts]).reshape(len(cells), -1), parts[0][2]
+
+
+def _sum(cells: np.ndarray, values: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(cells, return_inverse=True)
+    return found, np.stack([np.bincount(at, v, len(found)) for v in values.T], axis=1) if len(found) else values
+
+
+def toxic_cells(rows: DataFrame, least_lift: float = LIFT, errors: float = ERRORS) -> np.ndarray:
+    """Features whose holders are toxic far more often than others: documents that hold them, and, since copies of one text repeat their neighbours, distinct words before them."""
+
+    def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells, doc, _, toxic, n = _tokens(batch)
+        held = np.unique(cells.ravel().astype(np.int64) * n + np.repeat(doc, 4))
+        # a row a holder: (-1 or the word before, toxic)
+        near = np.append(0, cells[:-1, 0]) % 4093 if len(cells) else cells[:, 0]
+        pairs = np.unique((cells.astype(np.int64) * 4093 + near[:, None]) * 2 + toxic[doc][:, None])
+        at = np.concatenate([held // n, pairs // 2 // 4093])
+        values = np.stack([np.concatenate([np.full(len(held), -1.0), pairs // 2 % 4093]), np.concatenate([toxic[held % n], pairs & 1])], axis=1)
+        return at, values, np.array([n, toxic.sum(), len(doc), toxic[doc].sum()], float)
+
+    def add(cells: np.ndarray, values: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(cells, return_inverse=True)
+        whole = values[:, 0] < 0
+        near = np.unique((at[~whole].astype(np.int64) * 4093 + values[~whole, 0].astype(np.int64)) * 2 + values[~whole, 1].astype(np.int64))
+
+        def far(who: np.ndarray, toxic: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+            yes, no = np.bincount(who[toxic], minlength=len(found)), np.bincount(who[~toxic], minlength=len(found))
+            expected = (yes + no) * share
+            return np.log((yes + 0.2) / (no + 0.2)) - np.log(share / (1 - share)), yes - expected > errors * np.sqrt(expected * (1 - share))
+
+        lift, sure = far(at[whole], values[whole, 1] > 0, totals[1] / totals[0])
+        _, apart = far(near // 2 // 4093, (near & 1) > 0, float(np.clip(totals[3] / max(totals[2], 1), 0.01, 0.99)))
+        keep = (lift > least_lift) & sure & apart
+        return found[keep], np.zeros((int(keep.sum()), 0))
+
+    return _reduced(rows, work, add)[0]
+
+
+def train(rows: DataFrame, share: float, rounds: int = 6, lift: float = LIFT, errors: float = ERRORS) -> Model:
+    """A model from (toxic, text) rows; share: toxic rows among all labels. Sums run on the executors, the driver holds one weight and one speed a feature seen."""
     model = Model(np.zeros(1 << BITS, np.float16), np.zeros((2, 2)), np.zeros(2), np.array([0.0, 0.0, 0.0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))]))
-    if not len(texts) or toxic.all() or not toxic.any():
+    n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n or n_toxic in (0, n):
         return model
-    raw, off = utf8_buffers(pa.array(texts, pa.large_string()))
-    start, end, doc = tokens_of(raw, off)
-    cells = features(raw, start, end)
-    n = len(texts)
-    # label tokens: share of toxic documents among those that hold the feature, by log-odds against all
-    odds = np.full(len(start), -9.0)
-    held_by = toxic[doc]
-    near = np.append(0, cells[:-1, 0]) % 4093  # the word before: copies of one text repeat it, a word in use doesn't
-
-    def more_often(cell: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """(log of how much more often than at chance a cell's holders are toxic, whether chance would do)."""
-        yes, no = np.bincount(cell[y], minlength=1 << BITS), np.bincount(cell[~y], minlength=1 << BITS)
-        expected = (yes + no) * share
-        return np.log((yes + 0.2) / (no + 0.2)) - np.log(share / (1 - share)), yes - expected <= 4 * np.sqrt(expected * (1 - share))
-
-    for k in range(cells.shape[1]):
-        held = np.unique(cells[:, k].astype(np.int64) * n + doc)
-        lift, chance = more_often(held // n, toxic[held % n], toxic.mean())
-        pairs = np.unique((cells[:, k].astype(np.int64) * 4093 + near) * 2 + held_by)
-        _, also = more_often(pairs // 2 // 4093, (pairs & 1).astype(bool), float(np.clip(held_by.mean(), 0.01, 0.99)))
-        lift[chance | also] = -9
-        odds = np.maximum(odds, lift[cells[:, k]])
-    label = toxic[doc] & (odds > 3.0)
-    bounds = np.searchsorted(doc, np.arange(n + 1))
-    first_token = bounds[:-1][np.diff(bounds) > 0]
-    inner = np.ones(len(start), bool)
-    inner[first_token] = False
-    y = label.astype(int)
-    before = np.append(0, y[:-1])
-    want_pairs = np.bincount(before[inner] * 2 + y[inner], minlength=4).reshape(2, 2).astype(float)
-    seen = np.bincount(cells.ravel(), minlength=1 << BITS)
-    want = sum(np.bincount(cells[:, k], label, 1 << BITS) for k in range(4))
-    rate = max(label.mean(), 1e-6)
+    context = rows.sparkSession.sparkContext
+    marked = context.broadcast(toxic_cells(rows, lift, errors))
+
+    def labelled(batch: pa.RecordBatch) -> tuple:
+        cells, doc, bounds, toxic, n = _tokens(batch)
+        hot = np.zeros(1 << BITS, bool)
+        hot[marked.value] = True
+        return cells, doc, bounds, toxic, n, toxic[doc] & hot[cells].any(1), bounds[:-1][np.diff(bounds) > 0]
+
+    def count(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells, doc, bounds, _, _, label, first = labelled(batch)
+        inner = np.ones(len(doc), bool)
+        inner[first] = False
+        y = label.astype(int)
+        pairs = np.bincount(np.append(0, y[:-1])[inner] * 2 + y[inner], minlength=4) if len(y) else np.zeros(4)
+        found, at = np.unique(cells.ravel(), return_inverse=True)
+        values = np.stack([np.bincount(at, minlength=len(found)), np.bincount(at, np.repeat(label, 4), len(found))], axis=1)
+        return found, values, np.concatenate([pairs, [len(y), y.sum(), len(first), y[first].sum()]]).astype(float)
+
+    seen_cells, values, totals = _reduced(rows, count, _sum)
+    seen, want = values.T.astype(np.float64)
+    want_pairs, n_tokens, n_labels, n_first, y_first = totals[:4].reshape(2, 2), *totals[4:]
+    if not n_tokens:
+        return model
+    rate = max(n_labels / n_tokens, 1e-6)
     bias = np.log(rate / (1 - rate))
     # start from the tokens' own log-odds: the field then learns what neighbours add
-    theta = np.log((want + 2 * rate) / (seen - want + 2)) - bias
-    theta = np.where(seen > 0, theta, 0) / 4
+    theta = (np.log((want + 2 * rate) / (seen - want + 2)) - bias) / 4
     trans, first = np.zeros((2, 2)), np.array([0.0, bias])
     trans[:, 1] = bias
-    speed = np.full(1 << BITS, 1e-8)
+    speed = np.full(len(theta), 1e-8)
+
+    def weights_of(shipped: Broadcast) -> np.ndarray:
+        at, w = shipped.value
+        dense = np.zeros(1 << BITS, w.dtype)
+        dense[at] = w
+        return dense
+
     for _ in range(rounds):
-        emit = sum(theta[cells[:, k]] for k in range(4))
-        p, pairs = in_batches(emit, bounds, trans, first)
-        diff = label - p
-        g = sum(np.bincount(cells[:, k], diff, 1 << BITS) for k in range(4)) - 0.02 * theta
+        shipped = context.broadcast((seen_cells, theta.astype(np.float32)))
+
+        def gradient(batch: pa.RecordBatch, shipped: Broadcast = shipped, trans: np.ndarray = trans.copy(), start: np.ndarray = first.copy()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            cells, _, bounds, _, _, label, lead = labelled(batch)
+            p, pairs = in_batches(weights_of(shipped)[cells].sum(1, dtype=np.float64), bounds, trans, start)
+            found, at = np.unique(cells.ravel(), return_inverse=True)
+            return found, np.bincount(at, np.repeat(label - p, 4), len(found))[:, None], np.concatenate([pairs.ravel(), [p[lead].sum()]])
+
+        _, got, totals = _reduced(rows, gradient, _sum)
+        shipped.unpersist()
+        g = got[:, 0] - 0.02 * theta
         speed += g * g
         theta += 0.5 * g / np.sqrt(speed)
-        gp = (want_pairs - pairs) / np.maximum(want_pairs.sum(1, keepdims=True), 1)
+        gp = (want_pairs - totals[:4].reshape(2, 2)) / np.maximum(want_pairs.sum(1, keepdims=True), 1)
         trans[:, 1] += np.clip(gp[:, 1] / np.maximum(0.05, np.abs(gp[:, 1]) * 4 + rate), -0.5, 0.5)
-        first[1] += np.clip((y[first_token].mean() - p[first_token].mean()) / 0.05, -0.5, 0.5)
-    model.weights, model.trans, model.first = theta.astype(np.float16), trans, first
-    p, _ = in_batches(sum(model.weights[cells[:, k]].astype(np.float64) for k in range(4)), bounds, trans, first, pairs=False)
-    x = np.column_stack([document_values(p, doc, n), np.ones(n)])
-    t = toxic.astype(float)
+        first[1] += np.clip((y_first - totals[4]) / n_first / 0.05, -0.5, 0.5)
+    model.weights[seen_cells], model.trans, model.first = theta.astype(np.float16), trans, first
+    shipped = context.broadcast((seen_cells, theta.astype(np.float16)))
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            cells, doc, bounds, toxic, n = _tokens(batch)
+            p = in_batches(weights_of(shipped)[cells].sum(1, dtype=np.float64), bounds, trans, first, pairs=False)[0]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.float64()) for v in document_values(p, doc, n).T), pa.array(toxic)], names=["a", "b", "c", "toxic"])
+
+    got = np.array(sorted(tuple(r) for r in rows.mapInArrow(valued, "a double, b double, c double, toxic boolean").collect()))  # four numbers a row of the bounded sample
+    x, t = np.column_stack([got[:, :3], np.ones(len(got))]), got[:, 3]
     # each class weighs as among all labels
-    weight = np.where(toxic, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
+    weight = np.where(t > 0, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
     c = np.zeros(4)
     ridge = np.diag([1.0, 1.0, 1.0, 1e-3])
     for _ in range(25):  # Newton's method
@@ -230,16 +330,17 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 6) ->
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 1000) -> Model:
-    """Train on a bounded sample of labelled rows that aren't held out. docs may be fewer than the labels."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, lift: float = LIFT, errors: float = ERRORS) -> Model:
+    """Train on a bounded sample of labelled rows that aren't held out: whole texts, dealt to PARTS partitions and read there in slices. docs may be fewer than the labels."""
+    ensure_checkpoint_dir(docs.sparkSession)
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     by = [F.crc32(F.col("doc_id").cast("string")), F.col("doc_id")]
     chosen = usable.where("toxic = 1").orderBy(*by).limit(most).unionByName(usable.where("toxic = 0").orderBy(*by).limit(2 * most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()  # at most 3 * most labels, so as many texts
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 3 * most labels: two numbers each
+    rows = rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "toxic", "text").select("toxic", "text").checkpoint()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([r["text"] or "" for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), share)
+    return train(rows, share, lift=lift, errors=errors)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
