@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() uses the folder the cluster names; only where none is set (tests) a local one is made."""
+    """checkpoint() uses the folder the cluster names. Without one, a local session (tests) makes its own; a cluster's executors don't share local folders, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "taxaflow-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "taxaflow-checkpoints"))
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -28,12 +32,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 200_000) -> int:
-    """A number of partitions that keeps each near bytes_each of df's stored size, however large df is."""
+def parts_for(df: DataFrame, bytes_each: int, least: int = 8, most: int | None = None) -> int:
+    """A number of parts that keeps each near bytes_each of df's stored size, however large df is. most: for partitions whose groups are worked off one by one, so that fewer hold more groups, not larger ones."""
     size = plan_bytes(df)
     if size >= 1 << 60:  # not a scan of files: Catalyst doesn't know, so the texts are measured
         size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
-    return int(min(most, max(least, -(-size // bytes_each))))
+    parts = int(max(least, -(-size // bytes_each)))
+    return min(parts, most) if most else parts
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +136,63 @@ def byte_values(raw: np.ndarray) -> np.ndarray:
     return _BYTE_VALUES[raw]
 
 
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def short_codes(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of each data[start : start + size]: its first 15 bytes and, in the top byte, how many. Ranges of more than 15 bytes have no code of their own yet."""
+    words = np.ndarray((len(data) + 9,), "<u8", data + bytes(16), 0, (1,))
+    low = words[start] & _MASK[np.minimum(size, 8)]
+    high = words[np.minimum(start + 8, len(data))] & _MASK[np.clip(size - 8, 0, 7)]
+    return low, high | size.astype(np.uint64) << np.uint64(56)
+
+
+def byte_codes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves that name raw[start : start + size]: up to 15 bytes the bytes and their number, beyond that 127 bits of a BLAKE2 digest. Equal bytes have equal codes; unequal short ones never do."""
+    data = raw.tobytes()
+    low, high = short_codes(data, start, size)
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        a = start[long].tolist()
+        digests = b"".join([hashlib.blake2b(data[x : x + n], digest_size=16).digest() for x, n in zip(a, size[long].tolist(), strict=True)])
+        halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        low[long], high[long] = halves[:, 0], halves[:, 1] | np.uint64(1 << 63)
+    return low, high
+
+
+def distinct_codes(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct pair first stands, which of them each pair is). Sorted by a hash, then compared in full."""
+    _, pick, which = np.unique(code_hashes(low, high), return_index=True, return_inverse=True)
+    if (low[pick][which] == low).all() and (high[pick][which] == high).all():
+        return pick, which
+    order = np.lexsort((low, high))  # two pairs share a hash
+    new = np.ones(len(order), bool)
+    new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def code_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of byte_codes."""
+    with np.errstate(over="ignore"):
+        return mix(low ^ mix(high + np.uint64(0xD6E8FEB86659FD93)))
+
+
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether raw[a : a + size] equals raw[b : b + size], for many ranges; some 16 MB of them at a time."""
+    out = np.ones(len(a), bool)
+    total = np.cumsum(size)
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (16 << 20), side="right")))
+        n = size[at:to]
+        unlike = raw[ragged(a[at:to], n)] != raw[ragged(b[at:to], n)]
+        out[at:to][np.repeat(np.arange(to - at), n)[unlike]] = False
+        at = to
+    return out
+
+
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Indices start[i] .. start[i] + length[i] - 1 for every i, one after another."""
     total = int(length.sum())

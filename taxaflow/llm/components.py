@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, label) of every node in edges (u, v of longs). Each step is a min-aggregation and a join, cut by checkpoint(); the edge count never grows. More than `most` rounds raise an error."""
+    """(node, label) of every node in edges (u, v of any type with an order). Each step is a min-aggregation and a join, cut by checkpoint(); the edge count never grows. More than `most` rounds raise an error."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     state = None
     for _ in range(most):

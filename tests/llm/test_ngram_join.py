@@ -34,14 +34,15 @@ def rows():
     return out + [(None, out[0][1]), (0, "other words entirely here")]
 
 
-@pytest.mark.parametrize("floor", [512, 2])
-def test_components(spark, rows, floor, monkeypatch):
+@pytest.mark.parametrize(("floor", "hot"), [(512, 1 << 15), (2, 1 << 15), (2, 1)])
+def test_components(spark, rows, floor, hot, monkeypatch):
     if floor == 2:  # nearly every token is of the frequent class
-        real = ngram_join.prefix_keys
-        monkeypatch.setattr(ngram_join, "int", lambda x: 2 if isinstance(x, np.floating) else int(x), raising=False)
-        assert real
+        monkeypatch.setattr(ngram_join, "int", lambda x: 2 if isinstance(x, float) else int(x), raising=False)
+    if hot == 1:  # keys are split by node, and blocks are small
+        monkeypatch.setattr(ngram_join, "BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "LIMIT", 0)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(3)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(df, hot=hot).collect()), key=str)
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -77,3 +78,49 @@ def test_components_cut_off_raise(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     with pytest.raises(RuntimeError, match="not settled"):
         connected_components(edges, most=1)
+
+
+def doubling(letters, bits):
+    """A word of 2 ** bits letters that doubles with its letters swapped, and its complement: equal under polynomial hashes modulo 2^64."""
+    word, other = letters
+    for _ in range(bits):
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("bits", [9, 10, 12])
+def test_unlike_words_do_not_link(spark, bits):
+    x, y = doubling("ab", bits)
+    rest = " ".join(f"w{i}" for i in range(5))
+    docs = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{y} {rest}"), (4, x), (5, y)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
+def test_sketches_allow_every_link():
+    rng = random.Random(4)
+    blobs, sets = [], []
+    for n in (3, 40, 700, 2500):
+        base = rng.sample(range(1 << 62), n)
+        for edits in (0, 1, n // 30, n // 18, n // 2):
+            s = set(base[edits:]) | set(rng.sample(range(1 << 62), edits))
+            sets.append(s)
+            blobs.append(ngram_join.sketch_of(np.array(sorted(s), np.uint64), 90, 100))
+    x = ngram_join.Sketches(blobs)
+    i, j = (a.ravel() for a in np.indices((len(sets), len(sets))))
+    n = np.array([len(s) for s in sets])
+    ok = ngram_join.slack(x, i, n[i], x, j, n[j], 90, 100) >= 0
+    small = np.concatenate([ngram_join.folded(np.frombuffer(b, "<u8")[None], 2) for b in blobs])
+    order = np.argsort(n, kind="stable")
+    some = ngram_join.partnered(np.zeros(len(n)), n[order], small[order], 90, 100)
+    linked = np.array([100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for a, b in zip(i, j, strict=True)])
+    assert ok[linked].all() and not ok.all()
+    assert some[[linked[(i == o) & (j != o)].any() for o in order]].all()
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    words = [f"x{rng.randrange(4000)}" for _ in range(60_000)]
+    near = [*words[:30_000], "other", *words[30_000:]]
+    docs = spark.createDataFrame([(7, " ".join(words)), (3, " ".join(near)), (5, " ".join(words[:40_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.link_components(docs).collect()} == {7: 3, 3: 3, 5: 5}
