@@ -6,7 +6,9 @@ before every code point: blocks are composed independently (vectorised over bloc
 second vectorised sweep marks the boundaries. Slices between boundaries go through a cache; all slices missing from the
 cache are merged together, pair by pair, in numpy. A slice's ids are cached with it and its offsets are kept.
 
-Null text encodes as empty text. Each row is encoded alone, so repeated rows give equal results.
+Null text encodes as empty text. Each row is encoded alone, so repeated rows give equal results; slices are shared only if
+their bytes are equal. Of two pairs of equal rank the left one merges first. An empty table gives no rows. Columns other
+than doc_id and text are not looked at by digests(); encode_column() replaces columns named ids and slice_starts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taxaflow.llm.common import byte_values, mix, ragged, range_hashes, slices
+from taxaflow.llm.common import distinct_codes, ragged, short_codes, slices
 
 # Code points with the property White_Space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -286,7 +288,7 @@ class Bpe:
         np.cumsum(width, out=at[1:])
         edges = at[np.append(start, len(points))]
         raw = whole.encode()
-        _, pick, which = np.unique(self._keys(raw, edges), return_index=True, return_inverse=True)
+        pick, which = self._distinct(raw, edges)
         pieces = [raw[a:b] for a, b in zip(edges[pick].tolist(), edges[pick + 1].tolist(), strict=True)]
         cache = self.cache
         coded = list(map(cache.get, pieces))
@@ -308,19 +310,16 @@ class Bpe:
         return [(ids[token[cut[i]] : token[cut[i + 1]]].tobytes(), start[cut[i] : cut[i + 1]] - begin[i]) for i in range(len(texts))]
 
     @staticmethod
-    def _keys(raw: bytes, edges: np.ndarray) -> np.ndarray:
-        """A 64-bit key of each slice: equal slices have equal keys, and unequal ones unequal keys but for hash collisions."""
-        padded = raw + bytes(16)
-        words = np.ndarray((len(raw) + 9,), "<u8", padded, 0, (1,))
+    def _distinct(raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one place of each distinct slice, which of them each slice is). Slices are compared by their bytes: up to 15 as numbers, longer ones in a dictionary."""
         at, size = edges[:-1], np.diff(edges)
-        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-        low, high = words[at] & mask[np.minimum(size, 8)], words[np.minimum(at + 8, len(raw))] & mask[np.clip(size - 8, 0, 8)]
-        with np.errstate(over="ignore"):
-            keys = mix(low) ^ (mix(high + np.uint64(77)) * np.uint64(5)) ^ (size.astype(np.uint64) << np.uint64(48))
-        if len(long := np.flatnonzero(size > 16)):
-            pos, begin = ragged(at[long], size[long]), np.cumsum(size[long]) - size[long]
-            keys[long] = range_hashes(byte_values(np.frombuffer(raw, np.uint8)[pos]), begin, begin + size[long])
-        return keys
+        low, high = short_codes(raw, at, size)
+        long = np.flatnonzero(size > 15)
+        if len(long):
+            seen: dict[bytes, int] = {}
+            low[long] = [seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(at[long].tolist(), size[long].tolist(), strict=True)]
+            high[long] = np.uint64(1 << 63)
+        return distinct_codes(low, high)
 
     def _encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         found, apart = {}, []

@@ -40,6 +40,20 @@ def test_bpe_equals_tiktoken(spark, texts):
     assert byte_bpe.digests(docs_of(spark, []), RANKS).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 5, 9, 10, 12])
+def test_bpe_of_words_that_hash_alike(spark, bits):
+    x, y = "a", "b"
+    for _ in range(bits):  # equal under polynomial hashes modulo 2^64 from 10 doublings on
+        x, y = x + y, y + x
+    words = [x, y, f"{x} {y} {x}", f"{y}, {x}", (x + y) * 9]
+    got = {r.doc_id: r for r in byte_bpe.digests(docs_of(spark, words), RANKS).collect()}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs_of(spark, words), RANKS).collect()}
+    for i, t in enumerate(words):
+        ids = np.array(ENC.encode_ordinary(t), "<u4")
+        assert (got[i].ids_sha256, got[i].decoded_sha256) == (hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        assert counts[i] == len(ids)
+
+
 def test_bpe_column_keeps_names_and_offsets(spark):
     got = byte_bpe.encode_column(docs_of(spark, ["it's two words"]), RANKS, offsets=True).first()
     assert got.slice_starts == [0, 2, 4, 8] and got.shard == 3
