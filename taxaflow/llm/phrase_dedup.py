@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taxaflow.llm.common import byte_values, ragged, range_hashes, word_bounds
+from taxaflow.llm.common import byte_codes, code_hashes, ragged, range_hashes, same_bytes, word_bounds
 from taxaflow.llm.windows import Bucket, emit, remove_repeats, segments, spans_out
 
 LENGTH, K = 13, 3
@@ -45,20 +45,20 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buckets: int, groups: int) -> Iterator[tuple[int, bytes]]:
     flat, at, bounds = normal(raw, off)
     if len(at) <= LENGTH:
         return
-    words = range_hashes(byte_values(flat), at[:-1], at[1:])
+    words = code_hashes(*byte_codes(flat, at[:-1], np.diff(at) - 1))
     first, n, doc, least, code = segments(_grams(words, K), bounds, LENGTH, K)
     if len(first):
         begin, end = at[first], at[first + n + LENGTH - 1]
         same = range_hashes(words, first, first + n + LENGTH - 1)
-        yield from emit(first, n, doc, least, code, bounds, same, ids, sums, begin, end - begin, flat, buckets)
+        yield from emit(first, n, doc, least, code, bounds, same, ids, sums, begin, end - begin, flat, buckets, groups, LENGTH)
 
 
 def decide(bucket: Bucket, groups: int) -> pa.Table:
-    items = bucket.open
+    items = np.arange(len(bucket.doc))
     raw = bucket.content.tobytes()
     at, size, doc, n = bucket.at[items], bucket.size[items], bucket.doc[items], bucket.n[items]
     begin = at.tolist()
@@ -78,7 +78,7 @@ def decide(bucket: Bucket, groups: int) -> pa.Table:
     begins = np.concatenate([[0], ends])
     t_n = n[rep]
     # windows that recur in another distinct segment: found by hash, confirmed by their words
-    words = range_hashes(byte_values(bucket.content), begins[:-1], begins[1:])
+    words = code_hashes(*byte_codes(bucket.content, begins[:-1], np.diff(begins) - 1))
     owner = np.repeat(np.arange(len(texts)), t_n)
     start = ragged(np.zeros(len(texts), np.int64), t_n)
     w = word0[owner] + start
@@ -90,42 +90,59 @@ def decide(bucket: Bucket, groups: int) -> pa.Table:
         eq = k[1:] == k[:-1]
         twice[1:] |= eq
         twice[:-1] |= eq
-    phrases: dict[bytes, int] = {}
-    spread: dict[bytes, int] = {}  # the largest doc_id that a phrase is found in
     again = order[twice]
-    for a, b, lo, hi in zip(begins[w[again]].tolist(), begins[w[again] + LENGTH].tolist(), least[owner[again]].tolist(), most[owner[again]].tolist(), strict=True):
-        p = raw[a:b]
-        old = phrases.get(p)
-        phrases[p] = lo if old is None or lo < old else old
-        spread[p] = max(hi, spread.get(p, hi))
+    new = np.ones(len(again), bool)
+    new[1:] = keys[again[1:]] != keys[again[:-1]]
+    a, b = begins[w[again]], begins[w[again] + LENGTH]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    equal = (b - a == (b - a)[head]) & same_bytes(bucket.content, a, np.minimum(a[head], len(bucket.content) - (b - a)), b - a)
+    if not equal.all():  # windows of one hash: told apart by their bytes
+        apart: dict[tuple, int] = {}
+        code = np.fromiter((apart.setdefault((h, raw[x:y]), len(apart)) for h, x, y in zip(head.tolist(), a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
+        by = np.argsort(code, kind="stable")
+        again, a, b, code = again[by], a[by], b[by], code[by]
+        new = np.append(True, code[1:] != code[:-1])
+    at_new = np.flatnonzero(new)
+    low = np.minimum.reduceat(least[owner[again]], at_new) if len(at_new) else least[:0]
+    high = np.maximum.reduceat(most[owner[again]], at_new) if len(at_new) else least[:0]
+    # passages of the automaton: length in bytes, words, smallest document
+    spread = high > low
+    single = at_new[spread]
+    whole = np.flatnonzero(most > least)
+    passages = [raw[x:y] for x, y in zip(a[single].tolist(), b[single].tolist(), strict=True)]
+    known = set(passages)
+    whole = np.array([i for i in whole.tolist() if texts[i] not in known], np.int64)
+    passages += [texts[i] for i in whole.tolist()]
+    length = np.fromiter(map(len, passages), np.int64, len(passages))
+    count = np.concatenate([np.full(len(single), LENGTH), t_n[whole] + LENGTH - 1])
+    lo = np.concatenate([low[spread], least[whole]])
+    if not passages:
+        none = np.zeros(0, np.int64)
+        return spans_out(bucket, none, none, none, LENGTH, groups)
     automaton = ahocorasick.Automaton()
-    for p, lo in phrases.items():
-        if spread[p] > lo:
-            automaton.add_word(" " + p.decode("latin-1"), (len(p), LENGTH, lo))
-    for i in np.flatnonzero(most > least).tolist():
-        whole = " " + texts[i].decode("latin-1")
-        if whole not in automaton:
-            automaton.add_word(whole, (len(texts[i]), int(t_n[i]) + LENGTH - 1, int(least[i])))
-    out_item, out_first, out_n = [], [], []
-    if len(automaton):
-        automaton.make_automaton()
-        holders = np.argsort(text, kind="stable")
-        edge = np.searchsorted(text[holders], np.arange(len(texts) + 1))
-        for i, p in enumerate(texts):
-            hits = list(automaton.iter(" " + p.decode("latin-1")))
-            if not hits:
-                continue
-            base = begins[word0[i]]
-            own = holders[edge[i] : edge[i + 1]]
-            for end, (length, count, lo) in hits:
-                if lo >= most[i]:
-                    continue
-                first = int(np.searchsorted(begins, base + end - length, side="left")) - int(word0[i])
-                for j in own[doc[own] > lo].tolist():
-                    out_item.append(items[j])
-                    out_first.append(first)
-                    out_n.append(count - LENGTH + 1)
-    return spans_out(bucket, np.array(out_item, np.int64), np.array(out_first, np.int64), np.array(out_n, np.int64), LENGTH, groups)
+    for i, p in enumerate(passages):
+        automaton.add_word(" " + p.decode("latin-1"), i)
+    automaton.make_automaton()
+    # all segments stream through it, a line each: no word holds a line break
+    stream = b" " + b"\n ".join(texts)
+    hits = np.array(list(automaton.iter(stream.decode("latin-1"))), np.int64).reshape(-1, 2)
+    t_size = size[rep]
+    line = np.cumsum(t_size + 2) - (t_size + 2) + 1  # where each text starts in the stream
+    end, what = hits[:, 0] + 1, hits[:, 1]
+    text_of = np.searchsorted(line, end, side="right") - 1
+    keep = lo[what] < most[text_of]
+    end, what, text_of = end[keep], what[keep], text_of[keep]
+    place = begins[word0[text_of]] + end - line[text_of] - length[what]  # in the bucket's content
+    first = np.searchsorted(begins, place, side="left") - word0[text_of]
+    # every holder of the text with a larger id
+    holders = np.argsort(text, kind="stable")
+    edge = np.searchsorted(text[holders], np.arange(len(texts) + 1))
+    many = (edge[1:] - edge[:-1])[text_of]
+    who = holders[ragged(edge[:-1][text_of], many)]
+    hit = np.repeat(np.arange(len(what)), many)
+    late = doc[who] > lo[what[hit]]
+    who, hit = who[late], hit[late]
+    return spans_out(bucket, items[who], first[hit], count[what[hit]] - LENGTH + 1, LENGTH, groups)
 
 
 RESULT = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

@@ -150,7 +150,7 @@ def deep_shallow_sort(raw: np.ndarray, at: np.ndarray, size: np.ndarray, shallow
     return order, new
 
 
-def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buckets: int, groups: int) -> Iterator[tuple[int, bytes]]:
     if len(raw) < LENGTH:
         return
     padded = np.concatenate([raw, np.zeros(16, np.uint8)]).tobytes()
@@ -158,11 +158,11 @@ def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buc
     first, n, doc, least, code = segments(grams, off, LENGTH, K)
     if len(first):
         same = range_hashes(byte_values(raw), first, first + n + LENGTH - 1)
-        yield from emit(first, n, doc, least, code, off, same, ids, sums, first, n + LENGTH - 1, raw, buckets)
+        yield from emit(first, n, doc, least, code, off, same, ids, sums, first, n + LENGTH - 1, raw, buckets, groups, LENGTH, level=9)
 
 
 def decide(bucket: Bucket, groups: int) -> pa.Table:
-    items = bucket.open
+    items = np.arange(len(bucket.doc))
     raw = bucket.content
     at, size, doc = bucket.at[items], bucket.size[items], bucket.doc[items]
     # whole segments: copies are neighbours

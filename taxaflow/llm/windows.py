@@ -4,8 +4,8 @@ A window is W consecutive units (bytes or words) of one document. Which windows
 id is decided by content alone, so equal windows must meet. Every window is named by its minimizer, the k-gram of least
 hash in it; neighbouring windows mostly share one and travel together as a segment of n + W - 1 units. Equal windows have
 equal minimizers and so reach the same bucket. Segments that repeat within a slice of the scan are combined before the
-shuffle: only the smallest id's copy is sent with its content, the others are already decided. A passage that a third of
-all documents share so costs one segment for each slice.
+shuffle, after their bytes are compared: only the smallest id's copy is sent, and the others' spans go straight to the
+last step. A passage that a third of all documents share so costs one segment for each slice.
 
 Steps: map (slices -> compressed blobs by bucket), decide (one bucket at a time), apply (spans meet their documents in
 groups of bounded size). A bucket or group holds a few MB whatever the table's size; the number of both grows with it.
@@ -13,7 +13,7 @@ groups of bounded size). A bucket or group holds a few MB whatever the table's s
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import mix, parts_for, ragged, slices, utf8_buffers
+from taxaflow.llm.common import mix, parts_for, ragged, same_bytes, slices, utf8_buffers
 
 _PRIME = 2147483647
 
@@ -35,6 +35,11 @@ def doc_buckets(ids: np.ndarray, n: int) -> np.ndarray:
     return ids % _PRIME * 2654435761 % _PRIME % n
 
 
+def checksum(text: bytes | np.ndarray) -> int:
+    """Tells rows that share a doc_id apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+
+
 def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays in one compressed blob."""
     data = np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes() + b"".join(x.tobytes() for x in arrays)
@@ -83,70 +88,83 @@ def segments(grams: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tupl
     return first, np.diff(np.append(at, len(starts))), np.searchsorted(bounds, first, side="right") - 1, (of[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), of[at] >> np.uint64(32)
 
 
-#: What a blob of segments holds: documents' ids, checksums and numbers of segments; of each segment the step of its first unit, its windows and the minimizer's place; which are decided; the bytes of content of the others beyond the least such number; the content.
-BLOB = ("<i8", "<u4", "<u4", "<u4", "<u2", "<u2", "u1", "<i8", "<u4", "u1")
+#: What a blob of segments holds: documents' ids, checksums and numbers of segments; of each segment the step of its first unit, its windows, the minimizer's place, and the bytes of content beyond the least such number; the content.
+BLOB = ("<i8", "<u8", "<u4", "<u4", "<u2", "<u2", "<i8", "<u4", "u1")
 
 
-def emit(first: np.ndarray, n: np.ndarray, doc: np.ndarray, least: np.ndarray, code: np.ndarray, bounds: np.ndarray, same: np.ndarray, ids: np.ndarray, sums: np.ndarray, content_at: np.ndarray, content_len: np.ndarray, raw: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Blobs by bucket. same: hash of each segment's content; of equal ones, those of a larger id than the least are decided here."""
+def span_blobs(ids: np.ndarray, sums: np.ndarray, a: np.ndarray, b: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """(document group, packed spans of units [a, b)); spans that touch are joined."""
+    group = doc_buckets(ids, groups)
+    order = np.lexsort((a, sums, ids, group))
+    ids, sums, a, b, group = ids[order], sums[order], a[order], b[order], group[order]
+    key = np.ones(len(ids), bool)
+    key[1:] = (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])
+    start = np.flatnonzero(key)
+    shift = (np.cumsum(key) - 1) * (int(b.max(initial=0)) + 1)  # spans of different documents never touch
+    reach = np.maximum.accumulate(b + shift)
+    new = key.copy()
+    new[1:] |= (a + shift)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    ids, sums, a, b, group = ids[at], sums[at], a[at], (reach[np.append(at[1:], len(reach)) - 1] - shift[at]) if len(start) else b, group[at]
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(group[x]), pack(ids[x:y], sums[x:y].astype("<u8"), a[x:y], b[x:y])
+
+
+def emit(first: np.ndarray, n: np.ndarray, doc: np.ndarray, least: np.ndarray, code: np.ndarray, bounds: np.ndarray, same: np.ndarray, ids: np.ndarray, sums: np.ndarray, content_at: np.ndarray, content_len: np.ndarray, raw: np.ndarray, buckets: int, groups: int, window: int, level: int = 5) -> Iterator[tuple[int, bytes]]:
+    """Blobs of segments by bucket, and by -1 - document group the spans decided here: segments whose bytes are those of one with a smaller id in the slice. same: a hash of each segment's content, to find such pairs."""
     order = np.lexsort((ids[doc], same))
     lead = np.ones(len(order), bool)
     lead[1:] = same[order[1:]] != same[order[:-1]]
-    smallest = ids[doc[order]][np.flatnonzero(lead)][np.cumsum(lead) - 1]
-    decided = np.empty(len(order), bool)
-    decided[order] = ids[doc[order]] > smallest
-    bucket = ((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")  # segments come in the order of their documents
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    head = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+    later = (ids[doc[order]] > ids[doc[head]]) & (content_len[order] == content_len[head])
+    order, head = order[later], head[later]
+    equal = same_bytes(raw, content_at[order], content_at[head], content_len[order])
+    decided = np.zeros(len(doc), bool)
+    decided[order[equal]] = True
+    gone = np.flatnonzero(decided)
+    if len(gone):
+        a = first[gone] - bounds[doc[gone]]
+        for g, blob in span_blobs(ids[doc[gone]], sums[doc[gone]], a, a + n[gone] + window - 1, groups):
+            yield -1 - g, blob
+    left = np.flatnonzero(~decided)
+    bucket = ((code[left] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")  # segments come in the order of their documents
+    left, bucket = left[by], bucket[by]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        s = order[a:b]
+        s = left[a:b]
         used, at, many = np.unique(doc[s], return_index=True, return_counts=True)
         step = np.diff(first[s] - bounds[doc[s]], prepend=0)
         step[at] = first[s][at] - bounds[used]
-        open_ = s[~decided[s]]
-        size = content_len[open_]
-        extra = size - n[open_]
-        floor = int(extra.min()) if len(extra) else 0
-        yield int(bucket[s[0]]), pack(ids[used].astype("<i8"), sums[used].astype("<u4"), many.astype("<u4"), step.astype("<u4"), n[s].astype("<u2"), (least[s] - first[s]).astype("<u2"), np.packbits(decided[s]), np.array([floor], "<i8"), (extra - floor).astype("<u4") if len(extra) and extra.max() > floor else np.zeros(0, "<u4"), raw[ragged(content_at[open_], size)], level=9)
+        extra = content_len[s] - n[s]
+        floor = int(extra.min())
+        yield int(bucket[a]), pack(ids[used].astype("<i8"), sums[used].astype("<u8"), many.astype("<u4"), step.astype("<u4"), n[s].astype("<u2"), (least[s] - first[s]).astype("<u2"), np.array([floor], "<i8"), (extra - floor).astype("<u4") if extra.max() > floor else np.zeros(0, "<u4"), raw[ragged(content_at[s], content_len[s])], level=level)
 
 
 class Bucket:
     """All segments of one bucket."""
 
     def __init__(self, blobs: list[bytes]):
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         for blob in blobs:
-            ids, sums, many, step, n, offset, bits, floor, extra, content = unpack(blob, *BLOB)
+            ids, sums, many, step, n, offset, floor, extra, content = unpack(blob, *BLOB)
             n = n.astype(np.int64)
-            decided = np.unpackbits(bits, count=len(n)).astype(bool)
             total = np.cumsum(step.astype(np.int64))
             begin = np.cumsum(many.astype(np.int64)) - many
             first = total - np.repeat(total[begin] - step[begin], many)
-            size = np.zeros(len(n), np.int64)
-            size[~decided] = n[~decided] + floor[0] + (extra if len(extra) else 0)
-            for c, x in zip(cols, (np.repeat(ids, many), np.repeat(sums, many), first, n, offset.astype(np.int64), decided, size, content), strict=True):
+            size = n + floor[0] + (extra if len(extra) else 0)
+            for c, x in zip(cols, (np.repeat(ids, many), np.repeat(sums, many), first, n, offset.astype(np.int64), size, content), strict=True):
                 c.append(x)
-        self.doc, self.sum, self.first, self.n, self.offset, decided, self.size, self.content = (np.concatenate(c) for c in cols)
-        self.decided = np.flatnonzero(decided)
-        self.open = np.flatnonzero(~decided)
+        self.doc, self.sum, self.first, self.n, self.offset, self.size, self.content = (np.concatenate(c) for c in cols)
         self.at = np.cumsum(self.size) - self.size
 
 
 def spans_out(bucket: Bucket, item: np.ndarray, window_first: np.ndarray, windows: np.ndarray, window: int, groups: int) -> pa.Table:
     """Removed runs (unit spans) packed by document group. item: the segment; window_first: its first removed window; windows: how many."""
-    item = np.concatenate([bucket.decided, item])
-    a = bucket.first[item] + np.concatenate([np.zeros(len(bucket.decided), np.int64), window_first])
-    b = a + np.concatenate([bucket.n[bucket.decided], windows]) + window - 1
-    ids, sums = bucket.doc[item], bucket.sum[item]
-    group = doc_buckets(ids, groups)
-    order = np.lexsort((a, ids, group))
-    edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-    keys, blobs = [], []
-    for x, y in zip(edges[:-1], edges[1:], strict=True):
-        s = order[x:y]
-        keys.append(int(group[s[0]]))
-        blobs.append(pack(ids[s], sums[s].astype("<u4"), a[s], b[s]))
-    return pa.table({"grp": pa.array(keys, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    a = bucket.first[item] + window_first
+    found = list(span_blobs(bucket.doc[item], bucket.sum[item], a, a + windows + window - 1, groups))
+    return pa.table({"grp": pa.array([g for g, _ in found], pa.int32()), "blob": pa.array([b for _, b in found], pa.binary())})
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +181,7 @@ def packed_texts(docs: DataFrame, groups: int, keep: tuple[str, ...] = ()) -> Da
     """doc_id, grp, packed (the text as UTF-8, zstandard) and the columns in keep: what is shuffled where texts meet findings about them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=9).compress
+        squeeze = zstandard.ZstdCompressor(level=5).compress
         for batch in slices(batches, "text", 4 << 20):
             raw, off = utf8_buffers(batch.column(2))
             data = [squeeze(raw[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -173,12 +191,12 @@ def packed_texts(docs: DataFrame, groups: int, keep: tuple[str, ...] = ()) -> Da
     return docs.select("doc_id", doc_bucket(F.col("doc_id"), groups).alias("grp"), "text", *keep).mapInArrow(run, "doc_id long, grp int, packed binary" + kinds)
 
 
-def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], Iterator[tuple[int, bytes]]], decide: Callable[[Bucket, int], pa.Table], finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: pa.Schema, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The three steps. cut: (bytes, offsets, ids, checksums, buckets) of a slice -> blobs; decide: a bucket -> packed spans;
+def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int], Iterator[tuple[int, bytes]]], decide: Callable[[Bucket, int], pa.Table], finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: pa.Schema, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The three steps. cut: (bytes, offsets, ids, checksums, buckets, document groups) of a slice -> blobs; decide: a bucket -> packed spans;
     finish: (text as UTF-8, span starts, span ends) -> result values. Columns in keep pass through as they are."""
     buckets = parts_for(docs, 2 << 20)
     groups = parts_for(docs, 2 << 20)
-    tasks = parts_for(docs, 8 << 20, 12)
+    tasks = parts_for(docs, 8 << 20, 12, 200_000)
     limit = min(24 << 20, max(6 << 20, buckets << 14))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,18 +205,21 @@ def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.nd
             if not batch.num_rows:
                 continue
             raw, off = utf8_buffers(batch.column(1))
-            sums = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.uint32, len(off) - 1)
-            found = list(cut(raw, off, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sums, buckets))
+            sums = np.fromiter((checksum(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.uint64, len(off) - 1)
+            found = list(cut(raw, off, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sums, buckets, groups))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["bucket", "blob"])
 
     def second(group: pa.Table) -> pa.Table:
+        key = group.column("bucket")[0].as_py()
+        if key < 0:  # spans decided by the scan
+            return pa.table({"grp": pa.array([-1 - key] * group.num_rows, pa.int32()), "blob": group.column("blob")})
         return decide(Bucket(group.column("blob").to_pylist()), groups)
 
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
         spans: dict[tuple, tuple] = {}
         if right.num_rows:
-            parts = [unpack(b, "<i8", "<u4", "<i8", "<i8") for b in right.column("blob").to_pylist()]
+            parts = [unpack(b, "<i8", "<u8", "<i8", "<i8") for b in right.column("blob").to_pylist()]
             ids, sums, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((a, sums, ids))
             ids, sums, a, b = ids[order], sums[order], a[order], b[order]
@@ -209,7 +230,7 @@ def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.nd
         rows = []
         for i, t in zip(left.column("doc_id").to_pylist(), left.column("packed").to_pylist(), strict=True):
             text = zstandard.decompress(t)
-            rows.append(finish(text, *spans.get((i, zlib.crc32(text)), (none, none))))
+            rows.append(finish(text, *spans.get((i, checksum(text)), (none, none))))
         made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), result, strict=True)] if rows else [pa.array([], f.type) for f in result]
         return pa.table([*(left.column(c) for c in ("doc_id", *keep)), *made], names=["doc_id", *keep, *result.names])
 

@@ -69,6 +69,39 @@ def test_words(spark, rows):
     assert phrase_dedup.digests(frame(spark, [])).count() == 0
 
 
+def doubling(letters, bits):
+    """A word of 2 ** bits letters that doubles with its letters swapped, and its complement: equal under polynomial hashes modulo 2^64."""
+    word, other = letters
+    for _ in range(bits):
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("bits", [9, 10, 12])
+def test_unlike_words_stay(spark, bits):
+    x, y = doubling("ab", bits)
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{y} {rest}"), (4, x * 2), (5, y * 2)]
+    got = {r.doc_id: r.n_removed for r in phrase_dedup.digests(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 0, 5: 0}
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.digests(frame(spark, rows)).collect()}
+    want = {i: sum(gone) for i, _, gone in brute([(i, t.encode()) for i, t in rows], None, 50)}
+    assert got == want
+
+
+def test_very_long_text(spark):
+    rng = random.Random(6)
+    words = [f"x{rng.randrange(9000)}" for _ in range(80_000)]
+    rows = [(9, " ".join(words)), (4, " ".join(words[20_000:60_000])), (6, " ".join(reversed(words)))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in phrase_dedup.digests(frame(spark, rows)).collect()}
+    assert got == {9: (80_000, 40_000), 4: (40_000, 0), 6: (80_000, 0)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digests(frame(spark, rows)).collect()}
+    inner = len(rows[1][1])
+    before, after = words[20_000 - 1], words[60_000]
+    assert got[4][1] == got[6][1] == 0 and got[9][0] == len(rows[0][1]) and got[9][2] == 1
+    assert inner <= got[9][1] <= inner + 2 and before and after
+
+
 @pytest.mark.parametrize("shallow", [8, 24])
 def test_deep_shallow_sort(shallow):
     rng = random.Random(1)
