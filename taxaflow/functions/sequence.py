@@ -40,7 +40,7 @@ def assignment_weight(hit_length: Column, read_length: Column) -> Column:
 
 
 def accession_number(name: Column) -> Column:
-    return F.when(F.substring(name, 3, 1) == "_", F.nullif(F.regexp_extract(name, "([0-9]+)", 1), F.lit("")).cast("long"))
+    return F.when(F.substring(name, 3, 1) == "_", F.nullif(F.regexp_extract(name, "([0-9]+)", 1), F.lit("")).try_cast("long"))
 
 
 def base_name(path: Column) -> Column:

@@ -116,20 +116,27 @@ def quant_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Data
     """name, taxID, taxRank, genomeSize, numReads, numUniqueReads, abundance of every covered taxon."""
     spark = rows.sparkSession
     known = assignments(rows).persist()
-    counts = T.roll_up(split_counts(known), up, "reads", "uniq")
+    here = nodes.select("tax_id", F.lit(True).alias("there"))
+    own = split_counts(known).join(here, "tax_id", "left").select(F.when(F.col("there"), F.col("tax_id")).otherwise(F.lit(root)).alias("tax_id"), "reads", "uniq")  # a target outside the tree counts for the root
+    counts = T.roll_up(own, up, "reads", "uniq")
     share = spark.createDataFrame(list(abundances(known, nodes, up, lengths, root).items()) or [(0, 0.0)], "tax_id long, abundance double")
     out = counts.where("reads >= 1e-6").join(nodes, "tax_id").join(lengths, "tax_id", "left").join(share, "tax_id", "left")
     return out.select("name", F.col("tax_id").alias("taxID"), F.col("rank").alias("taxRank"), F.coalesce("length", F.lit(1_000_000)).alias("genomeSize"), F.floor(F.col("reads") + 1e-3).cast("int").alias("numReads"), F.floor(F.col("uniq") + 1e-3).cast("int").alias("numUniqueReads"), F.coalesce("abundance", F.lit(0.0)).alias("abundance"))
 
 
-def clade_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, root: int, with_lca: bool = True, zeros: bool = False, scores: bool = False) -> DataFrame:
-    """tax_id, clade_reads, own_reads, percent: each read at its LCA, or shared by its taxa.
+def clade_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, root: int, with_lca: bool = True, zeros: bool = False, scores: bool = False, least_score: int | None = None, least_length: int | None = None) -> DataFrame:
+    """tax_id, clade_reads, own_reads, percent: each read at its LCA, or shared by its rows (1 / numMatches each, or their number where there is no such column). Rows below least_score or least_length don't count.
 
     Taxon 0 is unclassified: a row of its own outside the tree, where there are such reads; beside other taxa of a read
     it counts only without LCA. zeros adds the tree's clades without reads. scores adds the best score of each clade: a
     read's is that of its first row by row_no if there is one, and it counts with LCA only; elsewhere the score is 0.
     """
-    keep = ["score"] if scores else []
+    if least_score is not None:
+        rows = rows.where(F.col("score") >= least_score)
+    if least_length is not None:
+        rows = rows.where(F.col("hitLength") >= least_length)
+    keep = [*(["score"] if scores else []), *(["m"] if not with_lca and "numMatches" in rows.columns else [])]
+    rows = rows.withColumn("m", F.col("numMatches")) if "m" in keep else rows
     order = ["row_no"] if scores and "row_no" in rows.columns else []
     known = rows.select(F.col("readID").alias("read"), F.col("taxID").alias("tax_id"), *keep, *order)
     known = known.join(nodes.select("tax_id", F.lit(True).alias("there")), "tax_id", "left")
@@ -141,18 +148,32 @@ def clade_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, root: int, wi
         own = at.groupBy("tax_id").agg(F.count(F.lit(1)).cast("double").alias("own_reads"))
         own = own.unionByName(none.select(F.lit(0).cast("long").alias("tax_id"), "own_reads"))
     else:
-        many = known.groupBy("read").agg(F.count(F.lit(1)).alias("m"))
-        own = known.join(many, "read").groupBy("tax_id").agg(F.sum(1 / F.col("m")).alias("own_reads"))
+        if "numMatches" not in rows.columns:
+            known = known.join(known.groupBy("read").agg(F.count(F.lit(1)).alias("m")), "read")
+        own = known.groupBy("tax_id").agg(F.sum(1 / F.col("m")).alias("own_reads"))
+    first = known.groupBy("read").agg((F.min_by("score", "row_no") if order else F.max("score")).alias("score")) if scores and with_lca else None
+    best = first.join(at, "read").groupBy("tax_id").agg(F.max("score").alias("score")) if first is not None else None
+    return _clades(own, up, root, zeros, scores, best)
+
+
+def clade_report_of_counts(counts: DataFrame, nodes: DataFrame, up: DataFrame, root: int, zeros: bool = False) -> DataFrame:
+    """The clade report of a count table (tax_id, count): of repeated taxa the last row by row_no counts in the tree and all in the total. Taxa outside the tree are in the total only; taxon 0 is unclassified."""
+    total = counts.agg(F.sum("count").cast("double").alias("total"))  # one row
+    own = counts.groupBy("tax_id").agg(F.max_by("count", "row_no").cast("double").alias("own_reads"))
+    own = own.join(nodes.select("tax_id").unionByName(nodes.sparkSession.range(1).select(F.col("id").alias("tax_id"))), "tax_id", "left_semi")
+    return _clades(own, up, root, zeros, False, None, total)
+
+
+def _clades(own: DataFrame, up: DataFrame, root: int, zeros: bool, scores: bool, best: DataFrame | None, total: DataFrame | None = None) -> DataFrame:
+    """own_reads of taxa summed up the tree, with shares of the total and, if asked, the best score of each clade."""
     counts = own.withColumnRenamed("own_reads", "clade_reads")
     clades = T.roll_up(counts.where("tax_id <> 0"), up, "clade_reads").unionByName(counts.where("tax_id = 0"))
     if zeros:
         tree = up.where(F.col("anc") == root).select("tax_id")
         clades = tree.join(clades, "tax_id", "full").select("tax_id", F.coalesce("clade_reads", F.lit(0.0)).alias("clade_reads"))
-    total = own.agg(F.sum("own_reads").alias("total"))  # one row
+    total = own.agg(F.sum("own_reads").alias("total")) if total is None else total  # one row
     out = clades.join(own, "tax_id", "left")
-    if scores and with_lca:
-        first = known.groupBy("read").agg((F.min_by("score", "row_no") if order else F.max("score")).alias("score"))
-        best = first.join(at, "read").groupBy("tax_id").agg(F.max("score").alias("score"))
+    if best is not None:
         out = out.join(best.join(up, "tax_id").groupBy(F.col("anc").alias("tax_id")).agg(F.max("score").alias("score")), "tax_id", "left")
     elif scores:
         out = out.withColumn("score", F.lit(0).cast("long"))

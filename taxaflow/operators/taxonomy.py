@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taxaflow.storage import stored
+
 # Ranks of each level, 0 to 8; every other rank is level 9.
 LEVELS = (
     ("strain", "subspecies"),
@@ -32,16 +34,16 @@ def rank_level(rank: Column) -> Column:
 
 
 def closure(nodes: DataFrame, most: int = 12) -> DataFrame:
-    """(tax_id, anc, depth) with every node's own row. Each round doubles the steps covered; it ends when nothing new appears. Steps beyond 2 ** most raise an error."""
-    step = nodes.where("tax_id <> parent_id").select("tax_id", F.col("parent_id").alias("anc"))
+    """(tax_id, anc, depth) with every node's own row. Each round doubles the steps covered and is stored, so no round is computed twice; it ends when no lineage is longer. Steps beyond 2 ** most raise an error."""
+    nodes = nodes.select("tax_id", "parent_id")
     known = nodes.select("tax_id", F.col("tax_id").alias("anc"), F.lit(0).alias("depth"))
-    jump, size = step, 1
+    jump, size = stored(nodes.where("tax_id <> parent_id").select("tax_id", F.col("parent_id").alias("anc"))), 1
     for _ in range(most):
-        far = known.select("tax_id", F.col("anc").alias("mid"), "depth").join(jump.select(F.col("tax_id").alias("mid"), "anc"), "mid").select("tax_id", "anc", (F.col("depth") + size).alias("depth"))
-        if far.isEmpty():
+        if jump.isEmpty():
             break
-        known = known.unionByName(far)
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.anc") == F.col("b.tax_id")).select(F.col("a.tax_id").alias("tax_id"), F.col("b.anc").alias("anc"))
+        far = known.select("tax_id", F.col("anc").alias("mid"), "depth").join(jump.select(F.col("tax_id").alias("mid"), "anc"), "mid").select("tax_id", "anc", (F.col("depth") + size).alias("depth"))
+        known = stored(known.unionByName(far))
+        jump = stored(jump.select("tax_id", F.col("anc").alias("mid")).join(jump.select(F.col("tax_id").alias("mid"), "anc"), "mid").select("tax_id", "anc"))
         size *= 2
     else:
         if not jump.isEmpty():
@@ -73,18 +75,27 @@ def lca(targets: DataFrame, up: DataFrame, root: int, key: str = "read") -> Data
 
 
 def level_ancestors(nodes: DataFrame, up: DataFrame) -> DataFrame:
-    """(tax_id, level 0-8, anc): the ancestor that stands for a level; levels that a lineage skips take the next higher one."""
-    ranked = up.join(nodes.select(F.col("tax_id").alias("anc"), rank_level(F.col("rank")).alias("own")), "anc").where("own <= 8")
-    return ranked.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("own")))).groupBy("tax_id", "level").agg(F.min_by("anc", F.struct("own", "depth")).alias("anc"))
+    """(tax_id, level 1-8, anc): the ancestor that stands for a level; levels that a lineage skips take the next higher one. The root stands for none."""
+    ranked = nodes.where("tax_id <> parent_id").select(F.col("tax_id").alias("anc"), rank_level(F.col("rank")).alias("own")).where("own between 1 and 8")
+    return up.join(ranked, "anc").withColumn("level", F.explode(F.sequence(F.lit(1), F.col("own")))).groupBy("tax_id", "level").agg(F.min_by("anc", F.struct("own", "depth")).alias("anc"))
 
 
 def reduce_to_k(targets: DataFrame, nodes: DataFrame, up: DataFrame, root: int, k: int, key: str = "read") -> DataFrame:
-    """(key, tax_id): the targets promoted to the lowest level that leaves at most k taxa; k = 1 is the LCA; none fits: the root."""
+    """(key, tax_id): at most k targets stay as they are, whatever they are. Of more, one outside the tree gives one row with a null taxon; else they are promoted to the lowest level that leaves at most k taxa (level 0: the targets themselves); k = 1 is the LCA; none fits: the root."""
+    here = nodes.select("tax_id", F.lit(True).alias("there"))
+    known = targets.select(key, "tax_id").join(here, "tax_id", "left")
+    many = known.groupBy(key).agg((F.count(F.lit(1)) > k).alias("many"), (F.count("there") < F.count(F.lit(1))).alias("outside"))
+    known = known.join(many, key)
+    kept = known.where("not many").select(key, "tax_id").distinct()
+    lost = many.where("many and outside").select(key, F.lit(None).cast("long").alias("tax_id"))
+    most = known.where("many and not outside").select(key, "tax_id").distinct()
     if k == 1:
-        return lca(targets, up, root, key).select(key, F.col("lca").alias("tax_id"))
-    lifted = targets.join(level_ancestors(nodes, up), "tax_id")
-    fits = lifted.groupBy(key, "level").agg(F.collect_set("anc").alias("set")).where(F.size("set") <= k).groupBy(key).agg(F.min_by("set", "level").alias("set"))
-    return targets.select(key).distinct().join(fits, key, "left").select(key, F.explode(F.coalesce("set", F.array(F.lit(root).cast("long")))).alias("tax_id"))
+        found = lca(most, up, root, key).select(key, F.col("lca").alias("tax_id"))
+    else:
+        lifted = most.join(level_ancestors(nodes, up), "tax_id").select(key, "level", "anc").unionByName(most.select(key, F.lit(0).alias("level"), F.col("tax_id").alias("anc")))
+        fits = lifted.groupBy(key, "level").agg(F.collect_set("anc").alias("set")).where(F.size("set") <= k).groupBy(key).agg(F.min_by("set", "level").alias("set"))
+        found = most.select(key).distinct().join(fits, key, "left").select(key, F.explode(F.coalesce("set", F.array(F.lit(root).cast("long")))).alias("tax_id"))
+    return kept.unionByName(lost).unionByName(found)
 
 
 def promote(rows: DataFrame, nodes: DataFrame, up: DataFrame, rank: str, key: str = "read") -> DataFrame:
@@ -105,16 +116,31 @@ def lineage(up: DataFrame, nodes: DataFrame, root: int, value: str = "name") ->
 
 
 def taxon_lengths(seqs: DataFrame) -> DataFrame:
-    """(tax_id, length) from (name, tax_id, length): runs of consecutive accession numbers are one genome; the longest counts."""
-    from taxaflow.functions.sequence import accession_number
-
-    w = W.partitionBy("tax_id").orderBy("number", "name")
-    rows = seqs.withColumn("number", accession_number(F.col("name")))
-    rows = rows.withColumn("new", F.when(F.col("number") == F.lag("number").over(w) + 1, 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("new").over(w))
-    return rows.groupBy("tax_id", "run").agg(F.sum("length").alias("length")).groupBy("tax_id").agg(F.max("length").alias("length"))
+    """(tax_id, length) from (name, tax_id, length): neighbours in the order of all names are one genome if they share a taxon and their accession numbers follow each other; the longest counts.
 
+    The order is made in two levels: ranges of names, then few numbers from range to range.
+    """
+    from taxaflow.functions.sequence import accession_number
 
-def infer_lengths(lengths: DataFrame, up: DataFrame) -> DataFrame:
-    """Lengths of all taxa: the integer mean of the given ones in a subtree."""
-    return lengths.join(up, "tax_id").groupBy("anc").agg(F.expr("sum(length) div count(1)").alias("length")).withColumnRenamed("anc", "tax_id")
+    rows = seqs.select("name", "tax_id", "length", accession_number(F.col("name")).alias("number"))
+    rows = stored(rows.repartitionByRange("name").withColumn("part", F.spark_partition_id()))
+    me = F.struct("name", "tax_id", "number")
+    w = W.partitionBy("part").orderBy("name")
+    ends = rows.groupBy("part").agg(F.max(me).alias("end")).withColumn("carried", F.lag("end").over(W.orderBy("part")))  # a row a range
+    rows = rows.join(F.broadcast(ends.select("part", "carried")), "part").withColumn("before", F.coalesce(F.lag(me).over(w), "carried"))
+    follows = (F.col("before.tax_id") == F.col("tax_id")) & (F.col("before.number") + 1 == F.col("number"))
+    rows = rows.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    starts = rows.groupBy("part").agg(F.sum("new").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    runs = rows.join(F.broadcast(starts), "part").groupBy("tax_id", (F.col("base") + F.col("run")).alias("run")).agg(F.sum("length").alias("length"))
+    return runs.groupBy("tax_id").agg(F.max("length").alias("length"))
+
+
+def infer_lengths(lengths: DataFrame, up: DataFrame, given: bool = False) -> DataFrame:
+    """Lengths of all taxa: the integer mean of a taxon's own length and those of the leaves below it. given: lengths of a size table stay as they are, and only other taxa are inferred."""
+    own = lengths.where("length <> 0").select("tax_id", "length")
+    leaves = own.join(up.where("depth > 0").select(F.col("anc").alias("tax_id")).distinct(), "tax_id", "left_anti")
+    below = leaves.join(up.where("depth > 0"), "tax_id").select(F.col("anc").alias("tax_id"), "length")
+    out = own.unionByName(below).groupBy("tax_id").agg(F.expr("sum(length) div count(1)").alias("length"))
+    if given:
+        out = out.join(own.select("tax_id", F.col("length").alias("own")), "tax_id", "left").select("tax_id", F.coalesce("own", "length").alias("length"))
+    return out

@@ -82,9 +82,16 @@ def tax_promote(spark: SparkSession, d: str) -> DataFrame:
     return T.promote(rows(spark, d).select(F.col("readID").alias("read"), F.col("taxID").alias("tax_id")), n, T.closure(n), "family")
 
 
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of reads: suppliers, of each fifth line its nation, of each line whose order ends in 17 a taxon that isn't in the tree."""
+    rows = _table(spark, d, "lineitem").join(F.broadcast(_table(spark, d, "supplier")), F.col("l_suppkey") == F.col("s_suppkey"))
+    tax = F.when((F.col("l_orderkey") % 100 == 17) & (F.col("l_linenumber") == 1), F.lit(5).cast("long")).when(F.col("l_linenumber") == 5, (F.col("s_nationkey") + 100).cast("long")).otherwise(F.col("l_suppkey") + SUPPLIER)
+    return rows.select(F.col("l_orderkey").alias("read"), tax.alias("tax_id"))
+
+
 def tax_reduce_to_3(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return T.reduce_to_k(rows(spark, d).select(F.col("readID").alias("read"), F.col("taxID").alias("tax_id")), n, T.closure(n), ROOT, 3)
+    return T.reduce_to_k(_targets(spark, d), n, T.closure(n), ROOT, 3)
 
 
 def tax_lineage(spark: SparkSession, d: str) -> DataFrame:
@@ -111,8 +118,9 @@ def clade_report_shared(spark: SparkSession, d: str) -> DataFrame:
 
 def taxon_sizes(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    own = _table(spark, d, "supplier").select((F.col("s_suppkey") + SUPPLIER).alias("tax_id"), (F.col("s_suppkey") * 7 + 1000).alias("length"))
-    return T.infer_lengths(own, T.closure(n))
+    own = _table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select((F.col("s_suppkey") + SUPPLIER).alias("tax_id"), (F.col("s_suppkey") * 7 + 1000).alias("length"))
+    inner = _table(spark, d, "nation").where("n_nationkey % 2 = 1").select((F.col("n_nationkey") + 100).cast("long").alias("tax_id"), (F.col("n_nationkey") * 11 + 50_000).cast("long").alias("length"))
+    return T.infer_lengths(own.unionByName(inner), T.closure(n))
 
 
 def hit_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -216,18 +224,30 @@ SQL = {
     "tax_closure": f"WITH RECURSIVE {NODES} SELECT tax_id, anc, CAST(depth AS INTEGER) AS depth FROM up",
     "tax_lca": f"WITH RECURSIVE {LCA} SELECT read, lca FROM lca",
     "tax_promote": f"WITH RECURSIVE {NODES} SELECT DISTINCT readid AS read, 100 + s_nationkey AS tax_id FROM hits JOIN supplier ON taxid = s_suppkey + {SUPPLIER}",
-    "tax_reduce_to_3": f"""WITH RECURSIVE {NODES}, lifted AS (
-  SELECT DISTINCT readid, level, CASE WHEN level <= 1 THEN taxid WHEN level <= 3 THEN s_nationkey + 100 ELSE n_regionkey + 10 END AS a
-  FROM hits JOIN supplier ON taxid = s_suppkey + {SUPPLIER} JOIN nation ON s_nationkey = n_nationkey CROSS JOIN range(0, 9) r(level)
-), fits AS (SELECT readid, min(level) AS level FROM (SELECT readid, level FROM lifted GROUP BY ALL HAVING count(*) <= 3) GROUP BY ALL)
-SELECT DISTINCT h.readid AS read, COALESCE(l.a, {ROOT}) AS tax_id FROM hits h LEFT JOIN fits f USING (readid) LEFT JOIN lifted l ON l.readid = f.readid AND l.level = f.level""",
+    "tax_reduce_to_3": f"""WITH RECURSIVE {NODES}, t AS (
+  SELECT l_orderkey AS read, CASE WHEN l_orderkey % 100 = 17 AND l_linenumber = 1 THEN 5 WHEN l_linenumber = 5 THEN s_nationkey + 100 ELSE l_suppkey + {SUPPLIER} END AS tax_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+), m AS (SELECT read, count(*) AS m, bool_or(tax_id = 5) AS outside FROM t GROUP BY read), lifted AS (
+  SELECT DISTINCT read, level, CASE level WHEN 0 THEN x.tax_id ELSE a.anc END AS a FROM t JOIN m USING (read) JOIN nodes x USING (tax_id) CROSS JOIN range(0, 9) r(level)
+  LEFT JOIN (SELECT up.tax_id, up.anc, CASE n.rank WHEN 'species' THEN 1 WHEN 'family' THEN 3 ELSE 8 END AS own FROM up JOIN nodes n ON n.tax_id = up.anc WHERE n.rank <> 'no rank') a ON a.tax_id = x.tax_id AND a.own >= level
+    AND a.own = CASE WHEN x.rank = 'species' AND level <= 1 THEN 1 WHEN level <= 3 AND x.rank IN ('species', 'family') THEN 3 ELSE 8 END
+  WHERE m > 3 AND NOT outside
+), fits AS (SELECT read, min(level) AS level FROM (SELECT read, level FROM lifted WHERE a IS NOT NULL GROUP BY ALL HAVING count(*) <= 3) GROUP BY ALL)
+SELECT DISTINCT read, CAST(tax_id AS BIGINT) AS tax_id FROM t JOIN m USING (read) WHERE m <= 3
+UNION ALL SELECT read, NULL FROM m WHERE m > 3 AND outside
+UNION ALL SELECT DISTINCT m.read, COALESCE(l.a, {ROOT}) FROM m LEFT JOIN fits f USING (read) LEFT JOIN lifted l ON l.read = f.read AND l.level = f.level WHERE m > 3 AND NOT outside""",
     "tax_lineage": f"WITH RECURSIVE {NODES} SELECT up.tax_id, string_agg(n.name, '|' ORDER BY depth DESC) AS lineage FROM up JOIN nodes n ON n.tax_id = up.anc WHERE up.anc <> {ROOT} GROUP BY ALL",
     "tax_subtree": f"WITH RECURSIVE {NODES} SELECT tax_id FROM up WHERE anc = 11",
     "clade_report": f"""WITH RECURSIVE {LCA}, own AS (SELECT lca AS tax_id, CAST(count(*) AS DOUBLE) AS own FROM lca GROUP BY ALL)
 SELECT up.anc AS tax_id, sum(own) AS clade_reads, COALESCE(max(own) FILTER (WHERE up.tax_id = up.anc), 0.0) AS own_reads, round(100 * sum(own) / (SELECT sum(own) FROM own), 6) AS percent FROM own JOIN up USING (tax_id) GROUP BY up.anc""",
     "clade_report_shared": f"""WITH RECURSIVE {NODES}, m AS (SELECT readid, count(*) AS m FROM hits GROUP BY ALL), own AS (SELECT taxid AS tax_id, sum(1.0::DOUBLE / m) AS own FROM hits JOIN m USING (readid) GROUP BY ALL)
 SELECT up.anc AS tax_id, round(sum(own), 4) AS clade_reads, round(COALESCE(max(own) FILTER (WHERE up.tax_id = up.anc), 0.0), 4) AS own_reads FROM own JOIN up USING (tax_id) GROUP BY up.anc""",
-    "taxon_sizes": f"WITH RECURSIVE {NODES} SELECT anc AS tax_id, CAST(sum(s_suppkey * 7 + 1000) AS BIGINT) // count(*) AS length FROM supplier JOIN up ON tax_id = s_suppkey + {SUPPLIER} GROUP BY anc",
+    "taxon_sizes": f"""WITH RECURSIVE {NODES}, own AS (
+  SELECT s_suppkey + {SUPPLIER} AS tax_id, s_suppkey * 7 + 1000 AS length FROM supplier WHERE s_suppkey % 3 <> 0
+  UNION ALL SELECT n_nationkey + 100, n_nationkey * 11 + 50000 FROM nation WHERE n_nationkey % 2 = 1
+), parents AS (SELECT DISTINCT parent_id FROM nodes WHERE parent_id <> tax_id)
+SELECT tax_id, CAST(sum(length) AS BIGINT) // count(*) AS length FROM (
+  SELECT tax_id, length FROM own UNION ALL SELECT up.anc, length FROM own JOIN up USING (tax_id) WHERE depth > 0 AND tax_id NOT IN (SELECT parent_id FROM parents)
+) GROUP BY tax_id""",
     "hit_scores": """WITH s AS (
   SELECT l_orderkey AS read, l_suppkey AS seq, CAST(sum((q - 15) * (q - 15)) AS BIGINT) AS score
   FROM (SELECT l_orderkey, l_linenumber, l_suppkey, max(CAST(l_quantity AS INTEGER)) AS q FROM lineitem GROUP BY ALL) WHERE q >= 23 GROUP BY ALL

@@ -41,14 +41,14 @@ def lineage_of(nodes: DataFrame, up: DataFrame, root: int) -> DataFrame:
 
 
 def metaphlan(report: DataFrame, lineages: DataFrame) -> DataFrame:
-    """Lines (clade, ids, abundance in percent, empty) of a quantification report's canonical taxa."""
-    rows = report.where(F.col("taxRank").isin(*CANONICAL) & (F.col("numReads") > 0)).join(lineages, report["taxID"] == lineages["tax_id"])
+    """Lines (clade, ids, abundance in percent, empty) of a quantification report's canonical taxa; the report holds those with reads, parts of one included."""
+    rows = report.where(F.col("taxRank").isin(*CANONICAL)).join(lineages, report["taxID"] == lineages["tax_id"])
     return rows.select(F.concat_ws("\t", "prefixed", "ids", F.format_string("%.5f", 100 * F.col("abundance")), F.lit("")).alias("value"))
 
 
 def cami(report: DataFrame, lineages: DataFrame) -> DataFrame:
     """Lines (tax id, rank, id path, name path, percent)."""
-    rows = report.where(F.col("taxRank").isin(*CANONICAL) & (F.col("numReads") > 0)).join(lineages, report["taxID"] == lineages["tax_id"])
+    rows = report.where(F.col("taxRank").isin(*CANONICAL)).join(lineages, report["taxID"] == lineages["tax_id"])
     return rows.select(F.concat_ws("\t", F.col("taxID").cast("string"), "taxRank", "ids", "names", F.format_string("%.5f", 100 * F.col("abundance"))).alias("value"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +48,8 @@ def parse_fastx(data: bytes) -> Iterator[tuple[str, str, str, str | None]]:
         i += 1
         if not line or line[0] not in ">@":
             continue
-        name, _, comment = line[1:].partition(" ")
+        name, *rest = re.split(r"\s", line[1:], maxsplit=1)
+        comment = rest[0] if rest else ""
         seq = []
         while i < len(lines) and lines[i][:1] not in (">", "@", "+"):
             seq.append(lines[i].strip())
@@ -67,7 +69,7 @@ def parse_fastx(data: bytes) -> Iterator[tuple[str, str, str, str | None]]:
 
 
 def fastx(spark: SparkSession, path: str) -> DataFrame:
-    """file, read_no, id (mate suffix taken off), comment, seq, qual of plain or gzip files."""
+    """file_no, file, read_no, id (mate suffix taken off), comment, seq, qual of plain or gzip files; files are numbered in the order of their paths."""
     import gzip
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,38 @@ def fastx(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, read_no long, id string, comment string, seq string, qual string")
+    found = spark.read.format("binaryFile").load(path)
+    numbers = found.select(F.col("path").alias("file"), (F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("file_no"))  # a row a file
+    reads = found.select("path", "content").mapInArrow(run, "file string, read_no long, id string, comment string, seq string, qual string")
+    return reads.join(F.broadcast(numbers), "file").select("file_no", "file", "read_no", "id", "comment", "seq", "qual")
+
+
+def size_table(spark: SparkSession, path: str) -> DataFrame:
+    """tax_id, length; of repeated taxa the last line counts."""
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    p = F.split(F.trim("value"), r"\s+")
+    return lines.select(p[0].cast("long").alias("tax_id"), p[1].cast("long").alias("length"), "at").groupBy("tax_id").agg(F.max_by("length", "at").alias("length"))
+
+
+def count_table(spark: SparkSession, path: str) -> DataFrame:
+    """tax_id, count, row_no."""
+    p = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where("trim(value) <> ''").select(p[0].cast("long").alias("tax_id"), p[1].cast("double").alias("count"), F.monotonically_increasing_id().alias("row_no"))
+
+
+def sample_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """sample_no, read1, read2, barcode, umi, output; a dot is none."""
+    p = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    fields = [F.nullif(F.get(p, F.lit(i)), F.lit(".")).alias(c) for i, c in enumerate(("read1", "read2", "barcode", "umi", "output"))]
+    return lines.select((F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("sample_no"), *fields)  # a row a sample
+
+
+def genome_list(spark: SparkSession, path: str) -> DataFrame:
+    """file_no, path, tax_id (null where the line names no taxon)."""
+    p = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    return lines.select((F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("file_no"), p[0].alias("path"), F.get(p, F.lit(1)).cast("long").alias("tax_id"))  # a row a file
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
