@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,21 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxaflow.storage import ensure_checkpoint_dir  # noqa: F401  used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() uses the folder the cluster names. Without one, a local session (tests) makes its own; a cluster's executors don't share local folders, so there it is an error."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "taxaflow-checkpoints"))
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan: the file sizes for a scan. No job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -52,8 +44,21 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of text (one longer text comes alone)."""
+    release()
+    yield from _slices(batches, text, limit)
+    release()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -68,6 +73,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             at = to
 
 
+def document_chunks(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about `limit` bytes; a longer document is one alone."""
+    at, n = 0, len(off) - 1
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1))
+        yield at, to
+        at = to
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -180,12 +194,12 @@ def code_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether raw[a : a + size] equals raw[b : b + size], for many ranges; some 16 MB of them at a time."""
+    """Whether raw[a : a + size] equals raw[b : b + size], for many ranges; some 1 MB of them at a time."""
     out = np.ones(len(a), bool)
     total = np.cumsum(size)
     at = 0
     while at < len(a):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (16 << 20), side="right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), side="right")))
         n = size[at:to]
         unlike = raw[ragged(a[at:to], n)] != raw[ragged(b[at:to], n)]
         out[at:to][np.repeat(np.arange(to - at), n)[unlike]] = False

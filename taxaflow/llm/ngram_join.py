@@ -124,6 +124,14 @@ def sketch_of(tokens: np.ndarray, num: int, den: int) -> bytes:
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def small_sketch(tokens: np.ndarray, num: int, den: int) -> bytes:
+    """A sketch for postings: a few bits for each token that a linked pair may differ in, 128 to 2048."""
+    words = 2
+    while words < 32 and 64 * words < 4.6 * room_of(2 * len(tokens), num, den):
+        words *= 2
+    return folded(np.frombuffer(sketch_of(tokens, num, den), "<u8")[None], words).tobytes()
+
+
 def folded(rows: np.ndarray, words: int) -> np.ndarray:
     """Sketches as rows of 64-bit words, with `words` words left."""
     while rows.shape[1] > words:
@@ -195,31 +203,24 @@ def prefix_keys(tokens: np.ndarray, counts: np.ndarray, mean: float, frequent: i
     return keys, (1 << np.ceil(np.log2(np.maximum(many, 1))).astype(np.int64)).astype(np.uint32)
 
 
-def partnered(group: np.ndarray, size: np.ndarray, small: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which members of groups (in order of group and size) have another member that sizes and two-word sketches allow."""
+def partnered(group: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: Sketches, num: int, den: int) -> np.ndarray:
+    """Which members of groups (in order of group and size) have another member that sizes and sketches (by node) allow."""
     n = len(group)
     out = np.zeros(n, bool)
-
-    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        near = size[i] * den >= size[j] * num
-        i, j = i[near], j[near]
-        near[near] = np.bitwise_count(small[i] ^ small[j]).sum(1, dtype=np.int64) <= room_of(size[i] + size[j], num, den)
-        return near
-
     for step in range(1, 9):  # neighbours first: they settle small groups, and near copies in large ones
         i = np.arange(n - step)
         i = i[(group[i] == group[i + step]) & ~(out[i] & out[i + step])]
         if not len(i):
             return out
-        i = i[may(i, i + step)]
+        i = i[slack(sketch, node[i], size[i], sketch, node[i + step], size[i + step], num, den) >= 0]
         out[i] = out[i + step] = True
     begin, end = np.searchsorted(group, group), np.searchsorted(group, group, side="right")
     for i in np.flatnonzero(~out & (end - begin > 9)).tolist():
         a, b = begin[i], end[i]
-        low, high = a + np.searchsorted(size[a:b] * den, size[i] * num), a + np.searchsorted(size[a:b] * num, size[i] * den, side="right")
-        unlike = np.bitwise_count(small[low:high] ^ small[i]).sum(1, dtype=np.int64)
-        unlike[i - low] = 1 << 40
-        out[i] = (unlike <= room_of(size[low:high] + size[i], num, den)).any()
+        j = np.arange(a + np.searchsorted(size[a:b] * den, size[i] * num), a + np.searchsorted(size[a:b] * num, size[i] * den, side="right"))
+        j = j[j != i]
+        mine = np.full(len(j), i)
+        out[i] = (slack(sketch, node[mine], size[mine], sketch, node[j], size[j], num, den) >= 0).any()
     return out
 
 
@@ -234,7 +235,7 @@ def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELLS, np.uint32)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(*utf8_buffers(batch.column(1)), k)
             cells = (np.concatenate([s for s, _ in sets]) >> np.uint64(64 - CELLS)).astype(np.int64)
             np.add.at(total, cells, 1) if len(cells) < 1 << 16 else np.add(total, np.bincount(cells, minlength=1 << CELLS).astype(np.uint32), out=total)
@@ -266,9 +267,9 @@ def _counts(described: DataFrame) -> np.ndarray:
 
 def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot: int) -> DataFrame:
     """(gid, key, nodes, sizes): the nodes under one key, by size; key only where the key is split, and then groups may have one member."""
-    buckets, tasks = parts_for(docs, 6 << 20), parts_for(docs, 8 << 20, 12, 200_000)
+    buckets, tasks = parts_for(docs, 16 << 20), parts_for(docs, 8 << 20, 12, 200_000)
     mean = float(counts.mean())
-    frequent = int(2 * mean + 512)
+    frequent = int(2 * mean + BLOCK)  # the nodes of a rarer token meet in one block
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,7 @@ def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot
             if not batch.num_rows:
                 continue
             seen: dict[bytes, np.ndarray] = {}  # tokens by node
-            for part in slices(iter([batch]), "text", 4 << 20):
+            for part in slices(iter([batch]), "text", 2 << 20):
                 for s in shingle_sets(*utf8_buffers(part.column(1)), k):
                     if len(s[0]):
                         seen.setdefault(node_of(s), s[0])
@@ -293,7 +294,8 @@ def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot
             node = np.repeat(np.arange(len(seen)), many)
             sub = (lead[node] % split).astype(np.uint32)  # which part of its key a node is in
             sizes = np.fromiter(map(len, seen.values()), np.int64, len(seen)).astype("<u4")
-            small = np.concatenate([folded(np.frombuffer(sketch_of(s, num, den), "<u8")[None], 2) for s in seen.values()])
+            small = [small_sketch(s, num, den) for s in seen.values()]
+            small_size = np.fromiter(map(len, small), np.int64, len(small)).astype("<u2")
             bucket = (mix(key + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((node, bucket))
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
@@ -301,11 +303,11 @@ def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 s = order[a:b]
                 used, local = np.unique(node[s], return_inverse=True)
-                out.append((int(bucket[s[0]]), pack(key[s], np.where(split[s] > 1, sub[s] + np.uint32(1), np.uint32(0)).astype("<u4"), local.astype("<u4"), np.frombuffer(names[used].tobytes(), np.uint8), sizes[used], small[used])))
+                out.append((int(bucket[s[0]]), pack(key[s], np.where(split[s] > 1, sub[s] + np.uint32(1), np.uint32(0)).astype("<u4"), local.astype("<u4"), np.frombuffer(names[used].tobytes(), np.uint8), sizes[used], small_size[used], np.frombuffer(b"".join([small[i] for i in used.tolist()]), np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["bucket", "blob"])
 
     def gather(group: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_py(), "<u8", "<u4", "<u4", "u1", "<u4", "<u8") for b in group.column("blob")]
+        parts = [unpack(b.as_py(), "<u8", "<u4", "<u4", "u1", "<u4", "<u2", "u1") for b in group.column("blob")]
         key, sub = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         held = np.concatenate([p[3] for p in parts]).view("S16")
         names, at, code = np.unique(held, return_index=True, return_inverse=True)
@@ -319,8 +321,11 @@ def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot
         new = first.copy()
         new[1:] |= node[1:] != node[:-1]
         key, sub, node, first = key[new], sub[new], node[new], first[new]
-        small = np.concatenate([p[5] for p in parts]).reshape(-1, 2)[at]
-        keep = partnered(np.cumsum(first), size_of[node], small[node], num, den) | (sub > 0)
+        length = np.concatenate([p[5] for p in parts]).astype(np.int64)
+        ends = np.cumsum(length)
+        held_sketches = b"".join([p[6].tobytes() for p in parts])
+        small = Sketches([held_sketches[y - n : y] for y, n in zip(ends[at].tolist(), length[at].tolist(), strict=True)])
+        keep = partnered(np.cumsum(first), node, size_of[node], small, num, den) | (sub > 0)
         key, sub, node = key[keep], sub[keep], node[keep]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
@@ -367,7 +372,7 @@ def _texts_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpack(shipped.value, "u1")[0]
         squeeze = zstandard.ZstdCompressor(level=5).compress
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             batch = batch.filter(batch.column(0).is_valid())
             at = _bit(batch.column(0).to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
@@ -528,7 +533,7 @@ def _with_node(docs: DataFrame, k: int, name: str) -> DataFrame:
     """docs and the name of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(*utf8_buffers(batch.column(batch.schema.get_field_index("text"))), k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s[0]) else None for s in sets], pa.binary())], names=[*batch.schema.names, name])
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taxaflow.llm.common import byte_codes, code_hashes, ragged, range_hashes, same_bytes, word_bounds
+from taxaflow.llm.common import byte_codes, code_hashes, document_chunks, ragged, range_hashes, same_bytes, word_bounds
 from taxaflow.llm.windows import Bucket, emit, remove_repeats, segments, spans_out
 
 LENGTH, K = 13, 3
@@ -46,15 +46,20 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buckets: int, groups: int) -> Iterator[tuple[int, bytes]]:
-    flat, at, bounds = normal(raw, off)
-    if len(at) <= LENGTH:
-        return
-    words = code_hashes(*byte_codes(flat, at[:-1], np.diff(at) - 1))
-    first, n, doc, least, code = segments(_grams(words, K), bounds, LENGTH, K)
-    if len(first):
-        begin, end = at[first], at[first + n + LENGTH - 1]
-        same = range_hashes(words, first, first + n + LENGTH - 1)
-        yield from emit(first, n, doc, least, code, bounds, same, ids, sums, begin, end - begin, flat, buckets, groups, LENGTH)
+    found, flats, firsts, used, words_before = [], [], [np.zeros(1, np.int64)], 0, 0
+    for a, b in document_chunks(off, 1 << 19):  # many numbers a byte: a few documents at a time
+        flat, at, bounds = normal(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+        words = code_hashes(*byte_codes(flat, at[:-1], np.diff(at) - 1))
+        first, n, doc, least, code = segments(_grams(words, K), bounds, LENGTH, K)
+        if len(first):
+            begin, end = at[first], at[first + n + LENGTH - 1]
+            found.append((first + words_before, n, doc + a, least + words_before, code, range_hashes(words, first, first + n + LENGTH - 1), begin + used, end - begin))
+        flats.append(flat)
+        firsts.append(bounds[1:] + words_before)
+        used, words_before = used + len(flat), words_before + len(words)
+    if found:
+        first, n, doc, least, code, same, begin, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield from emit(first, n, doc, least, code, np.concatenate(firsts), same, ids, sums, begin, size, np.concatenate(flats), buckets, groups, LENGTH)
 
 
 def decide(bucket: Bucket, groups: int) -> pa.Table:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taxaflow.llm.common import byte_values, mix, ragged, range_hashes
+from taxaflow.llm.common import byte_values, document_chunks, mix, ragged, range_hashes
 from taxaflow.llm.windows import Bucket, emit, remove_repeats, segments, spans_out
 
 LENGTH, K = 50, 8
@@ -154,10 +154,15 @@ def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buc
     if len(raw) < LENGTH:
         return
     padded = np.concatenate([raw, np.zeros(16, np.uint8)]).tobytes()
-    grams = np.ndarray((len(raw),), "<u8", padded, 0, (1,))
-    first, n, doc, least, code = segments(grams, off, LENGTH, K)
-    if len(first):
-        same = range_hashes(byte_values(raw), first, first + n + LENGTH - 1)
+    found = []
+    for a, b in document_chunks(off, 1 << 18):  # some 20 numbers a byte: a few documents at a time
+        low, high = int(off[a]), int(off[b])
+        first, n, doc, least, code = segments(np.ndarray((high - low,), "<u8", padded, low, (1,)), off[a : b + 1] - low, LENGTH, K)
+        if len(first):
+            same = range_hashes(byte_values(raw[low:high]), first, first + n + LENGTH - 1)
+            found.append((first + low, n, doc + a, least + low, code, same))
+    if found:
+        first, n, doc, least, code, same = (np.concatenate(x) for x in zip(*found, strict=True))
         yield from emit(first, n, doc, least, code, off, same, ids, sums, first, n + LENGTH - 1, raw, buckets, groups, LENGTH, level=9)
 
 
