@@ -617,7 +617,7 @@ def format_conversations(rows: DataFrame, source: str = SOURCE, parts: int | Non
 
     if not local:
         return rows.repartition(parts, "conv_id").sortWithinPartitions(*key).mapInArrow(whole, RESULT)
-    pieces = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key).mapInArrow(by_range, piece)
+    pieces = rows.repartitionByRange(parts, *key[:2]).sortWithinPartitions(*key).mapInArrow(by_range, piece)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, conv, digest = [], None, None

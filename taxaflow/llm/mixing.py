@@ -73,12 +73,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """Every document with where its words lie in its shard (begin, end) and what the shard is granted: doc_id, the columns in keep, size, source_size, target, begin, end, words, blocks, seats, shift, times."""
     ensure_checkpoint_dir(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", *keep, size.alias("size")) if keep else docs.select("doc_id", "source", size.alias("size")).checkpoint()
+    tie = F.xxhash64("text").alias("_tie")  # rows of one doc_id keep one order, and rows without doc_id spread
+    sized = docs.select("doc_id", "source", *keep, size.alias("size"), tie)
+    sized = sized if keep else sized.checkpoint()
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = water_fill(totals, weights, share, most).withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs).cast("long"))
     sources = sources.withColumnRenamed("source", "_source")
     placed = sized.join(sources.select("_source", "rank", "n_shards"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("shard", F.pmod(_spread(F.coalesce("doc_id", F.lit(0)), seed), F.col("n_shards")))
+    placed = placed.withColumn("shard", F.pmod(_spread(F.coalesce("doc_id", "_tie"), seed), F.col("n_shards")))
     shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words")).where("words > 0").withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
     per_source = shards.groupBy("rank").agg(F.sum("blocks").alias("source_blocks")).join(sources, "rank")
     per_source = per_source.withColumn("votes", F.col("target") * F.col("source_blocks") / F.col("source_size")).withColumns({"cap": F.floor(F.col("source_blocks") * F.lit(most)).cast("long"), "one": F.lit(0)})
@@ -86,7 +88,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     won = sainte_lague(per_source, ["one"], ["rank"], "votes", "seats", "cap").select("rank", F.col("got").alias("source_seats"))
     shards = shards.join(won, "rank").withColumns({"shard_votes": F.col("blocks").cast("double"), "shard_cap": F.floor(F.col("blocks") * F.lit(most)).cast("long")})
     shards = sainte_lague(shards, ["rank"], ["shard"], "shard_votes", "source_seats", "shard_cap").select("rank", "shard", "words", "blocks", F.col("got").alias("seats"))
-    w = W.partitionBy("rank", "shard").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("rank", "shard").orderBy("doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, -1)
     laid = placed.withColumn("begin", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("end", F.col("begin") + F.col("size"))
     laid = laid.join(shards, ["rank", "shard"], "left").join(sources.select("rank", "source_size", "target"), "rank")
     n = F.col("blocks")
