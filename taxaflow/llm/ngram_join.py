@@ -51,6 +51,8 @@ BLOCK = 2048
 LIMIT = 4
 #: Bits of the bitmap of documents asked for.
 ASKED = 26
+#: Groups of so many members that share their least node are united.
+UNITE = 64
 #: About as many nodes of one key meet in a task; keys expected to hold more are split.
 HOT = 1 << 15
 
@@ -177,8 +179,8 @@ def slack(x: Sketches, i: np.ndarray, nx: np.ndarray, y: Sketches, j: np.ndarray
     return out
 
 
-def prefix_keys(tokens: np.ndarray, counts: np.ndarray, mean: float, frequent: int, num: int, den: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of one set: rare tokens of its extended prefix, and pairs of the frequent ones; and how often each key's nodes are split (a function of the key alone)."""
+def prefix_keys(tokens: np.ndarray, counts: np.ndarray, mean: float, frequent: int, num: int, den: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of one set: rare tokens of its extended prefix, and pairs of the frequent ones; the token that leads each key, and how often its nodes are split (functions of the key alone)."""
     n = len(tokens)
     need = -(-n * num // den)
     length = min(n, n - need + (2 if need >= 2 else 1))
@@ -191,16 +193,17 @@ def prefix_keys(tokens: np.ndarray, counts: np.ndarray, mean: float, frequent: i
         order = np.arange(n)
     t, c = tokens[order], count[order].astype(np.int64)
     rare = c < frequent
-    keys, least = t, c
+    keys, route, least = t, t, c
     if need >= 2:
         often = np.flatnonzero(~rare)
         often = often[np.argsort(t[often])]
         i, j = (often[x] for x in np.triu_indices(len(often), 1)) if len(often) > 1 else (often[:0], often[:0])
         with np.errstate(over="ignore"):
             keys = np.concatenate([t[rare], mix(t[i] * np.uint64(0x9E3779B97F4A7C15) + t[j] + np.uint64(1))])
+        route = np.concatenate([t[rare], t[i]])
         least = np.concatenate([c[rare], np.minimum(c[i], c[j])])
     many = np.maximum(least - 2 * mean, 1) / hot
-    return keys, (1 << np.ceil(np.log2(np.maximum(many, 1))).astype(np.int64)).astype(np.uint32)
+    return keys, route, (1 << np.ceil(np.log2(np.maximum(many, 1))).astype(np.int64)).astype(np.uint32)
 
 
 def partnered(group: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: Sketches, num: int, den: int) -> np.ndarray:
@@ -287,8 +290,8 @@ def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot
             if not seen:
                 continue
             found = [prefix_keys(s, counts, mean, frequent, num, den, hot) for s in seen.values()]
-            many = np.fromiter((len(x) for x, _ in found), np.int64, len(found))
-            key, split = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            many = np.fromiter((len(x) for x, _, _ in found), np.int64, len(found))
+            key, route, split = (np.concatenate([x[i] for x in found]) for i in range(3))
             names = np.array(list(seen), "S16")
             lead = np.ndarray((len(seen),), "<u8", b"".join(seen), 0, (16,))
             node = np.repeat(np.arange(len(seen)), many)
@@ -296,7 +299,8 @@ def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot
             sizes = np.fromiter(map(len, seen.values()), np.int64, len(seen)).astype("<u4")
             small = [small_sketch(s, num, den) for s in seen.values()]
             small_size = np.fromiter(map(len, small), np.int64, len(small)).astype("<u2")
-            bucket = (mix(key + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+            # keys of one leading token meet in a bucket, where groups much alike become one
+            bucket = (mix(route + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((node, bucket))
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
             out = []
@@ -329,7 +333,18 @@ def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot
         key, sub, node = key[keep], sub[keep], node[keep]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
-        edges = np.append(np.flatnonzero(first), len(key))
+        group = np.cumsum(first) - 1
+        # large groups with one least node are united: near copies share many keys, and a pair needs to meet once
+        if len(group):
+            begin = np.flatnonzero(first)
+            united = (np.diff(np.append(begin, len(group))) >= UNITE) & (sub[begin] == 0)
+            group = np.where(united, len(begin) + np.minimum.reduceat(node, begin), np.arange(len(begin)))[group]
+            order = np.lexsort((node, size_of[node], group))
+            key, sub, node, group = key[order], sub[order], node[order], group[order]
+            new = np.ones(len(group), bool)
+            new[1:] = (group[1:] != group[:-1]) | (node[1:] != node[:-1])
+            key, sub, node, group = key[new], sub[new], node[new], group[new]
+        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(key))
         keep = (np.diff(edges) > 1) | (sub[edges[:-1]] > 0)
         seen: dict[tuple, tuple] = {}
         for a, b in zip(edges[:-1][keep].tolist(), edges[1:][keep].tolist(), strict=True):

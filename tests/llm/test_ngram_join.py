@@ -88,6 +88,39 @@ def doubling(letters, bits):
     return word, other
 
 
+def test_groups_united(spark, monkeypatch):
+    """A family of near copies with a chain of links through it, in groups that are united from two members on."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.sample(words, 200)
+    texts = []
+    for i in range(90):
+        t = list(base)
+        for j in range(i // 9):
+            t[7 + 19 * j] = f"edit{i}x{j}" if i % 3 else f"edit{j}"
+        texts.append(t)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    parent = list(range(90))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [shingles(" ".join(t)) for t in texts]
+    for i in range(90):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(90)}
+    assert len(set(want.values())) > 3
+    for floor in (1 << 11, 2):
+        monkeypatch.setattr(ngram_join, "int", lambda x, floor=floor: floor if isinstance(x, float) else int(x), raising=False)
+        assert {r.doc_id: r.component_id for r in ngram_join.link_components(df).collect()} == want
+
+
 @pytest.mark.parametrize("bits", [9, 10, 12])
 def test_unlike_words_do_not_link(spark, bits):
     x, y = doubling("ab", bits)
