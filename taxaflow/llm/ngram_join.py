@@ -270,7 +270,7 @@ def _counts(described: DataFrame) -> np.ndarray:
 
 def _groups(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, hot: int) -> DataFrame:
     """(gid, key, nodes, sizes): the nodes under one key, by size; key only where the key is split, and then groups may have one member."""
-    buckets, tasks = parts_for(docs, 16 << 20), parts_for(docs, 8 << 20, 12, 200_000)
+    buckets, tasks = parts_for(docs, 24 << 20), parts_for(docs, 8 << 20, 12, 200_000)
     mean = float(counts.mean())
     frequent = int(2 * mean + BLOCK)  # the nodes of a rarer token meet in one block
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
