@@ -59,21 +59,30 @@ def best_sequences(scores: DataFrame, near_length: int = 2000, near_share: float
     return one.withColumn("n", F.count(F.lit(1)).over(whole))
 
 
-def classify(reads: DataFrame, hits: DataFrame, sequences: DataFrame, nodes: DataFrame, up: DataFrame, root: int, k: int = 1, least: int = 23, adjust: int = 15) -> DataFrame:
+def classify(reads: DataFrame, hits: DataFrame, sequences: DataFrame, nodes: DataFrame, up: DataFrame, root: int, k: int = 1, least: int = 23, adjust: int = 15, expanded: bool = False) -> DataFrame:
     """readID, seqID, taxID, score, 2ndBestScore, hitLength, queryLength, numMatches of every read.
 
-    reads: read, id, query_length. sequences: seq, name, tax_id (null: uncategorised, shown as the root). A read with more
-    than k best sequences gets the taxa they reduce to, with the rank in seqID; one without hits is unclassified.
+    reads: read, id, query_length. sequences: seq, name, tax_id (one outside the tree or null is shown as the root). A read with more
+    than k best sequences gets the taxa they reduce to, with the rank in seqID; one without hits is unclassified. Columns
+    barcode and UMI of reads are kept. expanded adds expandedTaxIDs: by ids, the taxa that a reduced one stands for.
     """
     best = best_sequences(sequence_scores(join_adjacent(choose_strand(hits, least, adjust), least), least, adjust))
-    named = best.join(sequences.select("seq", "name", "tax_id"), "seq").withColumn("tax_id", F.coalesce("tax_id", F.lit(root)).cast("long"))
-    few = named.where(F.col("n") <= k).select("read", F.col("name").alias("seqID"), "tax_id")
+    top = F.lit(root).cast("long")
+    known = nodes.select("tax_id", F.col("tax_id").alias("known"))
+    named = best.join(sequences.select("seq", "name", "tax_id"), "seq").join(known, "tax_id", "left").withColumn("tax_id", F.col("known"))
+    few = named.where(F.col("n") <= k).select("read", F.col("name").alias("seqID"), F.coalesce("tax_id", top).alias("tax_id"))
     many = named.where(F.col("n") > k).select("read", "tax_id").distinct()
     ranks = nodes.select("tax_id", F.col("rank").alias("seqID"))
-    reduced = T.reduce_to_k(many, nodes, up, root, k).join(ranks, "tax_id", "left").select("read", F.coalesce("seqID", F.lit("no rank")).alias("seqID"), "tax_id")
+    reduced = T.reduce_to_k(many, nodes, up, root, k).join(ranks, "tax_id", "left").select("read", F.coalesce("seqID", F.lit("no rank")).alias("seqID"), F.coalesce("tax_id", top).alias("tax_id"))
     rows = few.unionByName(reduced)
+    extra = [c for c in ("barcode", "UMI") if c in reads.columns]
+    if expanded:
+        children = T.expanded_taxa(many, nodes, up, root, k).select("read", F.coalesce("tax_id", top).alias("tax_id"), F.coalesce("child", top).alias("child"))
+        children = children.groupBy("read", "tax_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("child")), lambda x: x.cast("string")), ",").alias("expandedTaxIDs"))
+        rows = rows.join(children, ["read", "tax_id"], "left")
+        extra.append("expandedTaxIDs")
     facts = best.groupBy("read").agg(F.max("score").alias("score"), F.max("second").alias("second"), F.max("hit_length").alias("hit_length"))
     counts = rows.groupBy("read").agg(F.count(F.lit(1)).alias("m"))
     out = reads.join(rows.join(facts, "read").join(counts, "read"), "read", "left")
     zero = F.lit(0)
-    return out.select(F.col("id").alias("readID"), F.coalesce("seqID", F.lit("unclassified")).alias("seqID"), F.coalesce("tax_id", zero).cast("long").alias("taxID"), F.coalesce("score", zero).cast("long").alias("score"), F.coalesce("second", zero).cast("long").alias("2ndBestScore"), F.coalesce("hit_length", zero).cast("int").alias("hitLength"), F.col("query_length").cast("int").alias("queryLength"), F.coalesce("m", F.lit(1)).cast("int").alias("numMatches"))
+    return out.select(F.col("id").alias("readID"), F.coalesce("seqID", F.lit("unclassified")).alias("seqID"), F.coalesce("tax_id", zero).cast("long").alias("taxID"), F.coalesce("score", zero).cast("long").alias("score"), F.coalesce("second", zero).cast("long").alias("2ndBestScore"), F.coalesce("hit_length", zero).cast("int").alias("hitLength"), F.col("query_length").cast("int").alias("queryLength"), F.coalesce("m", F.lit(1)).cast("int").alias("numMatches"), *[F.coalesce(c, F.lit("")).alias(c) for c in extra])

@@ -99,3 +99,24 @@ def promote_ids(ids: DataFrame, nodes: DataFrame, up: DataFrame, rank: str) -> D
 def merge_seq_taxa(rows: DataFrame, up: DataFrame, root: int) -> DataFrame:
     """(seq_id, tax_id): a sequence named with several taxa has their lowest common ancestor."""
     return T.lca(rows.select("seq_id", "tax_id"), up, root, "seq_id").select("seq_id", F.col("lca").alias("tax_id"))
+
+
+def header_map(reads: DataFrame, tax_id: int) -> DataFrame:
+    """(seq_id, tax_id) of the records of one taxon's files."""
+    return reads.select(F.col("id").alias("seq_id"), F.lit(tax_id).cast("long").alias("tax_id"))
+
+
+def file_map(reads: DataFrame, tax_id: int) -> DataFrame:
+    """(file, tax_id) of one taxon's files."""
+    return reads.select("file").distinct().withColumn("tax_id", F.lit(tax_id).cast("long"))
+
+
+def file_header_map(reads: DataFrame, files: DataFrame) -> DataFrame:
+    """(seq_id, tax_id) of records (file_no, read_no, id, file) whose files have taxa (file, tax_id): of an id in several files the last one counts; null where its file has no taxon."""
+    last = reads.groupBy(F.col("id").alias("seq_id")).agg(F.max_by("file", F.struct("file_no", "read_no")).alias("file"))
+    return last.join(files.select("file", "tax_id"), "file", "left").select("seq_id", "tax_id")
+
+
+def dna(seq: F.Column) -> F.Column:
+    """RNA letters as DNA."""
+    return F.translate(seq, "Uu", "Tt")

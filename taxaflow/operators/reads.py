@@ -26,6 +26,14 @@ def split_interleaved(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("not second").drop("second"), both.where("second").drop("second")
 
 
+def tagged(reads: DataFrame, segments: dict, tags: DataFrame | None = None, tag: str = "barcode", part: str = "bc") -> DataFrame:
+    """reads with a column of raw tags, or unchanged if neither a tag file nor the format names any: from the records of a tag file (file_no, read_no, seq), else from the first read as it was before its own segments are cut."""
+    if tags is not None:
+        found = tags.select(*_KEYS, F.struct(F.col("seq").alias(tag)).alias("t"))
+        return zip_records(r=reads, t=found.select(*_KEYS, f"t.{tag}")).select(*_KEYS, "r.*", f"t.{tag}")
+    return reads.withColumn(tag, F.col("seq")) if segments.get(part) else reads
+
+
 def barcode_counts(whitelist: DataFrame, barcodes: DataFrame, first: int | None = 2_000_000) -> DataFrame:
     """(barcode, n): one, and the exact matches among the first records in file order; None counts all."""
     seen = barcodes.select("file_no", "read_no", "barcode")

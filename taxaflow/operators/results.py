@@ -112,8 +112,8 @@ def abundances(assigned: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Da
     return {x: float(v) for x, v in zip(ids, a, strict=True)}
 
 
-def quant_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, lengths: DataFrame, root: int) -> DataFrame:
-    """name, taxID, taxRank, genomeSize, numReads, numUniqueReads, abundance of every covered taxon."""
+def quant_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, lengths: DataFrame, root: int, exact: bool = False) -> DataFrame:
+    """name, taxID, taxRank, genomeSize, numReads, numUniqueReads, abundance of every covered taxon; exact adds reads, their count before it is cut to whole reads."""
     spark = rows.sparkSession
     known = assignments(rows).persist()
     here = nodes.select("tax_id", F.lit(True).alias("there"))
@@ -121,7 +121,7 @@ def quant_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Data
     counts = T.roll_up(own, up, "reads", "uniq")
     share = spark.createDataFrame(list(abundances(known, nodes, up, lengths, root).items()) or [(0, 0.0)], "tax_id long, abundance double")
     out = counts.where("reads >= 1e-6").join(nodes, "tax_id").join(lengths, "tax_id", "left").join(share, "tax_id", "left")
-    return out.select("name", F.col("tax_id").alias("taxID"), F.col("rank").alias("taxRank"), F.coalesce("length", F.lit(1_000_000)).alias("genomeSize"), F.floor(F.col("reads") + 1e-3).cast("int").alias("numReads"), F.floor(F.col("uniq") + 1e-3).cast("int").alias("numUniqueReads"), F.coalesce("abundance", F.lit(0.0)).alias("abundance"))
+    return out.select("name", F.col("tax_id").alias("taxID"), F.col("rank").alias("taxRank"), F.coalesce("length", F.lit(1_000_000)).alias("genomeSize"), F.floor(F.col("reads") + 1e-3).cast("int").alias("numReads"), F.floor(F.col("uniq") + 1e-3).cast("int").alias("numUniqueReads"), F.coalesce("abundance", F.lit(0.0)).alias("abundance"), *([F.col("reads")] if exact else []))
 
 
 def clade_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, root: int, with_lca: bool = True, zeros: bool = False, scores: bool = False, least_score: int | None = None, least_length: int | None = None) -> DataFrame:

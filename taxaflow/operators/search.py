@@ -2,7 +2,9 @@
 
 The text is all genomes end to end, letters outside the alphabet dropped. A read is scanned from its end: the longest
 suffix of what remains that occurs in the text is a hit if it is long enough, and the scan goes on one base before it; a
-suffix whose last `width` bases don't occur is skipped by `width`. Both strands are scanned.
+suffix whose last `width` bases don't occur is skipped by `width`. Both strands are scanned, and hits of the two that
+overlap but disagree on an end are reconciled. Protein texts hold a sequence mark after each protein and are searched with
+the reading frame that scores best on each strand.
 
 The index (text and suffix array) is broadcast, so its size is checked first; a larger text is refused here.
 """
@@ -10,7 +12,9 @@ The index (text and suffix array) is broadcast, so its size is checked first; a
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taxaflow.functions.sequence import CODE
+
 WIDTH = 10
+PROTEIN_WIDTH = 4
+PROTEIN_ADJUST = 5
+# Letters of a protein text.
+AMINO = "ARNDCEQGHILKMFPSTWYV"
 HITS = "read long, strand int, hit int, seq long, offset int, length int, occurrences long"
 _FLIP = str.maketrans("ACGT", "TGCA")
+_CODONS = {"".join(c): a for c, a in zip(product("TCAG", repeat=3), CODE, strict=True)}
 
 
-def genome_text(genomes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(seq, bases, start): kept letters of each genome and where it starts; genomes not longer than width are dropped. genomes: seq (their order), bases."""
-    kept = genomes.select("seq", F.regexp_replace("bases", "[^ACGT]", "").alias("bases")).where(F.length("bases") > width)
+def genome_text(genomes: DataFrame, width: int = WIDTH, protein: bool = False) -> DataFrame:
+    """(seq, bases, start): kept letters of each genome and where it starts; genomes not longer than width are dropped. genomes: seq (their order), bases; rows of one seq follow each other by file_no and read_no if they have them. A protein ends with a mark that no read holds, which counts for its length."""
+    letters = F.regexp_replace("bases", f"[^{AMINO}]" if protein else "[^ACGT]", "")
+    order = ["seq", *(c for c in ("file_no", "read_no") if c in genomes.columns)]  # a seq may have several rows
+    kept = genomes.select(*order, (F.concat(letters, F.lit("$")) if protein else letters).alias("bases")).where(F.length("bases") > width)
     # prefix sums in two levels: within ranges of seq, then over the ranges
-    parts = kept.select("seq", "bases", F.length("bases").cast("long").alias("n")).withColumn("part", F.floor(F.col("seq") / 100_000))
+    parts = kept.select(*order, "bases", F.length("bases").cast("long").alias("n")).withColumn("part", F.floor(F.col("seq") / 100_000))
     sums = parts.groupBy("part").agg(F.sum("n").alias("total"))
     before = sums.withColumn("base", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    inner = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return parts.withColumn("inner", inner).join(before, "part").select("seq", "bases", (F.col("inner") + F.col("base")).alias("start"))
 
 
@@ -52,9 +65,79 @@ def suffix_array(text: bytes) -> np.ndarray:
     return order
 
 
+@dataclass
+class Match:
+    """A string of the text found on one strand: its offset from that strand's end, its length, its rows of the suffix order."""
+
+    offset: int
+    length: int
+    low: int
+    high: int
+
+
+def reconcile(plus: list[Match], minus: list[Match], read: bytes, back: bytes, longest: Callable[[bytes, int], tuple[int, int, int]]) -> None:
+    """Lets hits of two strands agree on their ends, in place. Both scans start at their own strand's end and go on one base
+    before each hit, so a chance hit there can shift the border of the true one.
+
+    On the read, both lists are walked from right to left. Where two hits overlap and neither holds the other, the one that
+    ends earlier in its own direction is searched again from the other's end and replaced if it then spans exactly what both
+    cover together. Hits of a strand that a replacement made overlap are cut in the end.
+    """
+    n = len(read)
+    changed = [False, False]
+    at = len(minus) - 1
+    for i, hit in enumerate(plus):
+        right = n - 1 - hit.offset
+        left = right - hit.length + 1
+        while at >= 0:
+            other = minus[at]
+            first, last = other.offset, other.offset + other.length - 1
+            if first < right:
+                equal = (first, last) == (left, right)
+                nested = first < left and right < last or left < first and last < right
+                if last <= left or equal or nested:
+                    break
+                if last > right:
+                    length, low, high = longest(read, last + 1)
+                    if length == last - left + 1 and low < high:
+                        plus[i] = Match(n - 1 - last, length, low, high)
+                        changed[0] = True
+                if left < first:
+                    length, low, high = longest(back, n - left)
+                    if length == last - left + 1 and low < high:
+                        minus[at] = Match(left, length, low, high)
+                        changed[1] = True
+            at -= 1
+    for hits, cut in zip((plus, minus), changed, strict=True):
+        if cut:
+            separate(hits)
+
+
+def separate(hits: list[Match]) -> None:
+    """Cuts overlaps of a strand's hits, in place: the longer of two keeps the overlap, the later one if they are equal; one inside a longer hit keeps nothing."""
+    for i, hit in enumerate(hits):
+        end = hit.offset + hit.length
+        for later in hits[i + 1 :]:
+            if later.offset >= end:
+                break
+            if hit.length <= later.length:
+                hit.length = later.offset - hit.offset
+                break
+            beyond = later.offset + later.length - end
+            if beyond > 0:
+                later.offset, later.length = end, beyond
+                break
+            later.length = 0
+
+
+def frames(read: str) -> list[bytes]:
+    """Amino acids of the three forward frames; a codon with another letter than ACGT is ?."""
+    return ["".join(_CODONS.get(read[i : i + 3], "?") for i in range(f, len(read) - 2, 3)).encode() for f in range(3)]
+
+
 class Index:
-    def __init__(self, text: bytes, starts: list[int], seqs: list[int], width: int = WIDTH):
-        self.text, self.starts, self.seqs, self.width = text, starts, seqs, width
+    def __init__(self, text: bytes, starts: list[int], seqs: list[int], width: int = WIDTH, letters: bytes = b"ACGT"):
+        self.text, self.starts, self.seqs, self.width, self.letters = text, starts, seqs, width, letters
         self.order = suffix_array(text).tolist()
 
     def range_of(self, word: bytes, low: int = 0, high: int | None = None) -> tuple[int, int]:
@@ -82,14 +165,14 @@ class Index:
         if end < w:
             return 0, 0, 0
         for i in range(1, w + 1):
-            if read[end - i] not in b"ACGT":
+            if read[end - i] not in self.letters:
                 return i - 1, 0, 0
         low, high = self.range_of(read[end - w : end])
         if low >= high:
             return w - 1, 0, 0
         good, most = w, end
         for i in range(w, end):
-            if read[end - i - 1] not in b"ACGT":
+            if read[end - i - 1] not in self.letters:
                 most = i
                 break
         rows = (low, high)
@@ -122,34 +205,48 @@ class Index:
             found.add(self.seqs[max(0, bisect_right(self.starts, self.order[r] + self.width + 1) - 1)])
         return found
 
-    def hits(self, read: str, least: int, most: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    def scan(self, s: bytes, least: int) -> list[Match]:
+        found, end = [], len(s)
+        while end >= least:
+            length, low, high = self.longest_suffix(s, end)
+            if length >= least and low < high:
+                found.append(Match(len(s) - end, length, low, high))
+            end -= length + 1
+        return found
+
+    def best_frame(self, read: str, least: int, adjust: int) -> list[Match]:
+        """Hits of the frame with the highest score times number of hits, the first of equal ones."""
+        return max((self.scan(f, least) for f in frames(read)), key=lambda hits: len(hits) * sum((h.length - adjust) ** 2 for h in hits))
+
+    def hits(self, read: str, least: int, most: int, protein: bool = False, agree: bool = True) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(strand, hit, seq, offset from the read's end, length, occurrences in the text)."""
-        n = len(read)
         back = "".join(c if c in "ACGT" else "N" for c in read).translate(_FLIP)[::-1]
-        for strand, s in ((1, read.encode()), (-1, back.encode())):
-            end = n
-            k = 0
-            while end >= least:
-                length, low, high = self.longest_suffix(s, end)
-                if length >= least and low < high:
-                    for seq in sorted(self.owners(low, high, most)):
-                        yield strand, k, seq, n - end, length, high - low
-                    k += 1
-                end -= length + 1
-
-
-def search(reads: DataFrame, text: DataFrame, least: int, k: int = 1, factor: int = 40, most_bytes: int = 256 << 20) -> DataFrame:
-    """Hits of reads (read, seq) in a genome_text()."""
+        if protein:
+            both = [self.best_frame(s, least, PROTEIN_ADJUST) for s in (read, back)]
+        else:
+            s, t = read.encode("latin-1", "replace"), back.encode()
+            both = [self.scan(s, least), self.scan(t, least)]
+            if agree:
+                reconcile(*both, s, t, self.longest_suffix)
+        for strand, found in zip((1, -1), both, strict=True):
+            for k, m in enumerate(h for h in found if h.length >= least):
+                for seq in sorted(self.owners(m.low, m.high, most)):
+                    yield strand, k, seq, m.offset, m.length, m.high - m.low
+
+
+def search(reads: DataFrame, text: DataFrame, least: int, k: int = 1, factor: int = 40, most_bytes: int = 256 << 20, protein: bool = False, agree: bool = True) -> DataFrame:
+    """Hits of reads (read, seq) in a genome_text(). protein: of a protein text, by translated reads, in amino acids. agree: hits of both strands are reconciled (never with protein)."""
     size = text.agg(F.coalesce(F.sum(F.length("bases")), F.lit(0))).first()[0]
     if size > most_bytes:
         raise ValueError(f"the text has {size} bases; an index of at most {most_bytes} is broadcast")
     parts = sorted(text.collect(), key=lambda r: r["start"])
-    shipped = reads.sparkSession.sparkContext.broadcast(Index("".join(r["bases"] for r in parts).encode(), [r["start"] for r in parts], [r["seq"] for r in parts]))
+    width, letters = (PROTEIN_WIDTH, AMINO) if protein else (WIDTH, "ACGT")
+    shipped = reads.sparkSession.sparkContext.broadcast(Index("".join(r["bases"] for r in parts).encode(), [r["start"] for r in parts], [r["seq"] for r in parts], width, letters.encode()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shipped.value
         for batch in batches:
-            rows = [(i, *h) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h in index.hits(s or "", least, k * factor)]
+            rows = [(i, *h) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h in index.hits(s or "", least, k * factor, protein, agree)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 

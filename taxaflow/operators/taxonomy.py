@@ -98,6 +98,44 @@ def reduce_to_k(targets: DataFrame, nodes: DataFrame, up: DataFrame, root: int,
     return kept.unionByName(lost).unionByName(found)
 
 
+def expanded_taxa(targets: DataFrame, nodes: DataFrame, up: DataFrame, root: int, k: int, key: str = "read") -> DataFrame:
+    """(key, tax_id, child): what each taxon of reduce_to_k() stands for, of keys with more than k targets.
+
+    k = 1: the children of the LCA that the targets are in or below. Above, where targets were promoted: the taxa of the
+    level below whose next ancestor of the result's level or a higher one is that taxon; an unranked one between them counts
+    as higher. Targets with one outside the tree all stand under the null taxon.
+    """
+    known = targets.select(key, "tax_id").join(nodes.select("tax_id", F.lit(True).alias("there")), "tax_id", "left")
+    many = known.groupBy(key).agg((F.count(F.lit(1)) > k).alias("many"), (F.count("there") < F.count(F.lit(1))).alias("outside")).where("many")
+    known = known.join(many, key)
+    lost = known.where("outside").select(key, F.lit(None).cast("long").alias("tax_id"), F.col("tax_id").alias("child"))
+    most = known.where("not outside").select(key, "tax_id").distinct()
+    parents = nodes.where("tax_id <> parent_id").select(F.col("tax_id").alias("child"), F.col("parent_id").alias("found"))
+    if k == 1:
+        at = lca(most, up, root, key).select(key, F.col("lca").alias("found"))
+        steps = most.join(up, "tax_id").select(key, F.col("anc").alias("child")).distinct().join(parents, "child")
+        return lost.unionByName(steps.join(at, [key, "found"]).select(key, F.col("found").alias("tax_id"), "child"))
+    lifted = most.join(level_ancestors(nodes, up), "tax_id").select(key, "level", "anc").unionByName(most.select(key, F.lit(0).alias("level"), F.col("tax_id").alias("anc"))).distinct()
+    fits = lifted.groupBy(key, "level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= k).groupBy(key).agg(F.min("level").alias("at")).where("at > 0")
+    ranks = nodes.select(F.col("tax_id").alias("found"), rank_level(F.col("rank")).alias("own"))
+    above = up.where("depth > 0").select(F.col("tax_id").alias("child"), F.col("anc").alias("found"), "depth").join(ranks, "found")
+    below = lifted.join(fits, key).where("level = at - 1").select(key, "at", F.col("anc").alias("child")).join(above, "child").where("own >= at")
+    nearest = below.groupBy(key, "child", "at").agg(F.min_by(F.struct("found", "own"), "depth").alias("a")).where("a.own = at")
+    kept = lifted.join(fits, key).where("level = at").select(key, F.col("anc").alias("found"))
+    return lost.unionByName(nearest.select(key, F.col("a.found").alias("found"), "child").join(kept, [key, "found"], "left_semi").select(key, F.col("found").alias("tax_id"), "child"))
+
+
+def general_tree(nodes: DataFrame, root: int) -> DataFrame:
+    """One tree: every other node that is its own parent becomes a child of the root."""
+    return nodes.withColumn("parent_id", F.when(F.col("tax_id") == F.col("parent_id"), F.lit(root).cast("long")).otherwise(F.col("parent_id")))
+
+
+def named_taxa(ids: DataFrame, nodes: DataFrame, root: int) -> DataFrame:
+    """ids (tax_id) with known_id, name and rank; a taxon outside the tree shows the root's id, Unknown and no rank."""
+    here = nodes.select("tax_id", F.col("tax_id").alias("known_id"), "name", "rank")
+    return ids.join(here, "tax_id", "left").withColumns({"known_id": F.coalesce("known_id", F.lit(root).cast("long")), "name": F.coalesce("name", F.lit("Unknown")), "rank": F.coalesce("rank", F.lit("no rank"))})
+
+
 def promote(rows: DataFrame, nodes: DataFrame, up: DataFrame, rank: str, key: str = "read") -> DataFrame:
     """rows (key, tax_id) with each taxon replaced by its nearest ancestor of a rank, where there is one; one row of each taxon and key."""
     at = up.join(nodes.where(F.col("rank") == rank).select(F.col("tax_id").alias("anc")), "anc").groupBy("tax_id").agg(F.min_by("anc", "depth").alias("up_id"))

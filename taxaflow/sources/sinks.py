@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +77,65 @@ def clade_lines(tree: DataFrame, unclassified: bool = False) -> DataFrame:
     letter = F.when(F.col("rank").isin("species", "genus", "family", "order", "class", "phylum", "kingdom"), F.upper(F.substring("rank", 1, 1))).when(F.col("rank").isin("superkingdom", "domain", "acellular root"), F.lit("D")).when(F.col("tax_id") == 0, F.lit("U")).otherwise(F.lit("-"))
     score = [F.col("score").cast("string")] if "score" in tree.columns else []
     return tree.orderBy("path").select(F.concat_ws("\t", F.format_string("%6.2f", "percent"), F.format_string("%.0f", "clade_reads"), F.format_string("%.0f", "own_reads"), letter, F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name"), *score).alias("value"))
+
+
+def native_tree(counts: DataFrame, nodes: DataFrame, up: DataFrame) -> DataFrame:
+    """(path, tax_id, depth, code, name, reads, own, abundance) of a quantification's taxa with reads; counts: tax_id, reads (of the clade), abundance. Ordering by path walks depth first, children by id.
+
+    code: the rank's letter, D for the highest ranks, R for the root; for other taxa the letter of the nearest ranked
+    ancestor and the steps to it. Strains have no letter of their own, and below an unranked root it is R.
+    """
+    kept = counts.where("reads >= 1e-6").join(nodes, "tax_id")
+    plain = F.col("rank").isin(*[r for r in CANONICAL if r != "strain"])
+    letter = F.when(F.col("rank").isin("superkingdom", "acellular root"), F.lit("D")).when(plain, F.upper(F.substring("rank", 1, 1))).when(F.col("tax_id") == F.col("parent_id"), F.lit("R"))
+    steps = up.join(nodes.select(F.col("tax_id").alias("anc"), letter.alias("letter")), "anc").groupBy("tax_id").agg(F.sort_array(F.collect_list(F.struct("depth", "anc")), asc=False).alias("steps"), F.min(F.when(F.col("letter").isNotNull(), F.struct("depth", "letter"))).alias("near"))
+    below = kept.where("tax_id <> parent_id").groupBy(F.col("parent_id").alias("tax_id")).agg(F.sum("reads").alias("below"))
+    rows = kept.join(steps, "tax_id").join(below, "tax_id", "left")
+    code = F.concat("near.letter", F.when(F.col("near.depth") > 0, F.col("near.depth").cast("string")).otherwise(F.lit("")))
+    return rows.select(F.transform("steps", lambda x: x["anc"]).alias("path"), "tax_id", (F.size("steps") - 1).alias("depth"), code.alias("code"), "name", "reads", (F.col("reads") - F.coalesce("below", F.lit(0.0))).alias("own"), "abundance")
+
+
+def native_lines(tree: DataFrame) -> DataFrame:
+    """native_tree() as lines in order: percent, clade reads, own reads, code, id, indented name."""
+    number = F.format_string("%.2f\t%.0f\t%.0f", 100 * F.col("abundance"), F.col("reads"), F.col("own"))
+    return tree.orderBy("path").select(F.concat_ws("\t", number, "code", F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name")).alias("value"))
+
+
+# Header lines of report formats.
+HEADERS = {"default": "name\ttaxID\ttaxRank\tgenomeSize\tnumReads\tnumUniqueReads\tabundance", "metaphlan": "#clade_name\tNCBI_tax_id\trelative_abundance\tadditional_species", "cami": "@@TAXID\tRANK\tTAXPATH\tTAXPATHSN\tPERCENTAGE"}
+
+
+def report_lines(report: DataFrame, nodes: DataFrame, up: DataFrame, root: int, form: str = "default") -> DataFrame:
+    """(value, header first) of a quantification report in the format default, metaphlan, cami or kreport; an unknown one warns and gives the default."""
+    if form == "kreport":
+        return native_lines(native_tree(report.select(F.col("taxID").alias("tax_id"), F.col("reads"), "abundance"), nodes, up))
+    if form not in HEADERS:
+        warnings.warn(f"unknown report format {form}; the default is written", stacklevel=2)
+        form = "default"
+    if form == "default":
+        lines = report.select(F.col("taxID").alias("at"), F.concat_ws("\t", "name", F.col("taxID").cast("string"), "taxRank", *[F.col(c).cast("string") for c in ("genomeSize", "numReads", "numUniqueReads")], F.format_string("%g", "abundance")).alias("value"))
+    else:
+        lines = (metaphlan if form == "metaphlan" else cami)(report, lineage_of(nodes, up, root)).select(F.lit(0).cast("long").alias("at"), "value")
+    head = report.sparkSession.range(1).select(F.lit(None).cast("long").alias("at"), F.lit(HEADERS[form]).alias("value"))
+    return head.unionByName(lines).orderBy(F.col("at").asc_nulls_first(), F.col("value")).select("value")
+
+
+def processed_line(rows: DataFrame) -> DataFrame:
+    """One row: processed and classified reads of a classification table, their percentage, and the line a log shows."""
+    reads = rows.groupBy("readID").agg(F.max((F.col("taxID") != 0).cast("long")).alias("c"))
+    totals = reads.agg(F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum("c"), F.lit(0)).alias("classified"))
+    percent = F.when(F.col("processed") > 0, 100 * F.col("classified") / F.col("processed")).otherwise(F.lit(0.0))
+    return totals.withColumn("percent", F.round(percent, 6)).withColumn("value", F.format_string("Processed %d read fragments, and %d (%.2f%%) can be classified.", "processed", "classified", percent))
+
+
+def write_split_mates(reads: DataFrame, rows: DataFrame, prefix: str, classified: bool) -> None:
+    """Reads (id, seq, qual and, where there are mates or tags, seq2, qual2, barcode, umi) of one outcome: prefix_1 and prefix_2 with mates, else prefix; prefix_bc and prefix_um hold tags as FASTA."""
+    known = rows.where("taxID <> 0").select(F.col("readID").alias("id")).distinct()
+    kept = reads.join(known, "id", "left_semi" if classified else "left_anti")
+    mates, none = "seq2" in reads.columns, F.lit(None).cast("string").alias("qual")
+    parts = {"_1" if mates else "": kept.select("id", "seq", "qual")}
+    if mates:
+        parts["_2"] = kept.where("seq2 is not null").select("id", F.col("seq2").alias("seq"), F.col("qual2").alias("qual"))
+    parts |= {suffix: kept.select("id", F.col(tag).alias("seq"), none) for suffix, tag in (("_bc", "barcode"), ("_um", "umi")) if tag in reads.columns}
+    for suffix, part in parts.items():
+        read_lines(part).write.mode("overwrite").option("compression", "gzip").text(prefix + suffix)
