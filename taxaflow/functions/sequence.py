@@ -23,9 +23,12 @@ def translate_frame(seq: Column, frame: int) -> Column:
     """Amino acids of one reading frame (0, 1 or 2); a codon with another letter than ACGT is ?."""
     codons = {"".join(c): a for c, a in zip(product("TCAG", repeat=3), CODE, strict=True)}
     table = F.create_map(*[F.lit(x) for kv in codons.items() for x in kv])
-    n = F.floor((F.length(seq) - frame) / 3).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: F.coalesce(F.try_element_at(table, F.substring(seq, i * 3 + 1 + frame, F.lit(3))), F.lit("?"))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.substr(seq, F.lit(frame + 1)), F.lit("(?s)(...)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("?"))), "")
+
+
+def six_frames(seq: Column) -> Column:
+    """Amino acids of the frames 0, 1, 2 of the sequence and of its reverse complement."""
+    return F.array(*[translate_frame(s, f) for s in (seq, reverse_complement(seq)) for f in range(3)])
 
 
 def hit_score(length: Column, least: int = 23, adjust: int = 15) -> Column:

@@ -39,6 +39,13 @@ def split_counts(assigned: DataFrame) -> DataFrame:
     return assigned.select(F.explode("targets").alias("tax_id"), (F.col("cnt") / F.size("targets")).alias("reads"), "uniq").groupBy("tax_id").agg(F.sum("reads").alias("reads"), F.sum("uniq").alias("uniq"))
 
 
+def read_counts(assigned: DataFrame, nodes: DataFrame, up: DataFrame, root: int) -> DataFrame:
+    """(tax_id, reads, uniq) of clades; a target outside the tree counts for the root."""
+    here = nodes.select("tax_id", F.lit(True).alias("there"))
+    own = split_counts(assigned).join(here, "tax_id", "left").select(F.when(F.col("there"), F.col("tax_id")).otherwise(F.lit(root)).alias("tax_id"), "reads", "uniq")
+    return T.roll_up(own, up, "reads", "uniq")
+
+
 def abundances(assigned: DataFrame, nodes: DataFrame, up: DataFrame, lengths: DataFrame, root: int, most: int = 1000, most_rows: int = 2_000_000) -> dict[int, float]:
     """Abundance of each covered taxon, by expectation maximisation over the coalesced assignments and the tree.
 
@@ -116,9 +123,7 @@ def quant_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Data
     """name, taxID, taxRank, genomeSize, numReads, numUniqueReads, abundance of every covered taxon; exact adds reads, their count before it is cut to whole reads."""
     spark = rows.sparkSession
     known = assignments(rows).persist()
-    here = nodes.select("tax_id", F.lit(True).alias("there"))
-    own = split_counts(known).join(here, "tax_id", "left").select(F.when(F.col("there"), F.col("tax_id")).otherwise(F.lit(root)).alias("tax_id"), "reads", "uniq")  # a target outside the tree counts for the root
-    counts = T.roll_up(own, up, "reads", "uniq")
+    counts = read_counts(known, nodes, up, root)
     share = spark.createDataFrame(list(abundances(known, nodes, up, lengths, root).items()) or [(0, 0.0)], "tax_id long, abundance double")
     out = counts.where("reads >= 1e-6").join(nodes, "tax_id").join(lengths, "tax_id", "left").join(share, "tax_id", "left")
     return out.select("name", F.col("tax_id").alias("taxID"), F.col("rank").alias("taxRank"), F.coalesce("length", F.lit(1_000_000)).alias("genomeSize"), F.floor(F.col("reads") + 1e-3).cast("int").alias("numReads"), F.floor(F.col("uniq") + 1e-3).cast("int").alias("numUniqueReads"), F.coalesce("abundance", F.lit(0.0)).alias("abundance"), *([F.col("reads")] if exact else []))

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.operators.taxonomy import CANONICAL
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """A number with so many digits; a tie goes to the even one."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.bround(value.cast("decimal(38,15)"), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def write_classification(rows: DataFrame, path: str, sample: str | None = None) -> None:
     """Tab-separated with a header, gzip; a folder for each value of the column `sample`."""
     writer = rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip")
@@ -45,13 +51,13 @@ def lineage_of(nodes: DataFrame, up: DataFrame, root: int) -> DataFrame:
 def metaphlan(report: DataFrame, lineages: DataFrame) -> DataFrame:
     """Lines (clade, ids, abundance in percent, empty) of a quantification report's canonical taxa; the report holds those with reads, parts of one included."""
     rows = report.where(F.col("taxRank").isin(*CANONICAL)).join(lineages, report["taxID"] == lineages["tax_id"])
-    return rows.select(F.concat_ws("\t", "prefixed", "ids", F.format_string("%.5f", 100 * F.col("abundance")), F.lit("")).alias("value"))
+    return rows.select(F.concat_ws("\t", "prefixed", "ids", fixed(100 * F.col("abundance"), 5), F.lit("")).alias("value"))
 
 
 def cami(report: DataFrame, lineages: DataFrame) -> DataFrame:
     """Lines (tax id, rank, id path, name path, percent)."""
     rows = report.where(F.col("taxRank").isin(*CANONICAL)).join(lineages, report["taxID"] == lineages["tax_id"])
-    return rows.select(F.concat_ws("\t", F.col("taxID").cast("string"), "taxRank", "ids", "names", F.format_string("%.5f", 100 * F.col("abundance"))).alias("value"))
+    return rows.select(F.concat_ws("\t", F.col("taxID").cast("string"), "taxRank", "ids", "names", fixed(100 * F.col("abundance"), 5)).alias("value"))
 
 
 def clade_tree(report: DataFrame, nodes: DataFrame, up: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def clade_lines(tree: DataFrame, unclassified: bool = False) -> DataFrame:
         tree = tree.unionByName(none.join(tree.where("tax_id = 0").select("tax_id"), "tax_id", "left_anti"))
     letter = F.when(F.col("rank").isin("species", "genus", "family", "order", "class", "phylum", "kingdom"), F.upper(F.substring("rank", 1, 1))).when(F.col("rank").isin("superkingdom", "domain", "acellular root"), F.lit("D")).when(F.col("tax_id") == 0, F.lit("U")).otherwise(F.lit("-"))
     score = [F.col("score").cast("string")] if "score" in tree.columns else []
-    return tree.orderBy("path").select(F.concat_ws("\t", F.format_string("%6.2f", "percent"), F.format_string("%.0f", "clade_reads"), F.format_string("%.0f", "own_reads"), letter, F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name"), *score).alias("value"))
+    return tree.orderBy("path").select(F.concat_ws("\t", F.format_string("%6s", fixed("percent", 2)), fixed("clade_reads", 0), fixed("own_reads", 0), letter, F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name"), *score).alias("value"))
 
 
 def native_tree(counts: DataFrame, nodes: DataFrame, up: DataFrame) -> DataFrame:
@@ -97,8 +103,7 @@ def native_tree(counts: DataFrame, nodes: DataFrame, up: DataFrame) -> DataFrame
 
 def native_lines(tree: DataFrame) -> DataFrame:
     """native_tree() as lines in order: percent, clade reads, own reads, code, id, indented name."""
-    number = F.format_string("%.2f\t%.0f\t%.0f", 100 * F.col("abundance"), F.col("reads"), F.col("own"))
-    return tree.orderBy("path").select(F.concat_ws("\t", number, "code", F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name")).alias("value"))
+    return tree.orderBy("path").select(F.concat_ws("\t", fixed(100 * F.col("abundance"), 2), fixed("reads", 0), fixed("own", 0), "code", F.col("tax_id").cast("string"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "name")).alias("value"))
 
 
 # Header lines of report formats.
@@ -125,7 +130,7 @@ def processed_line(rows: DataFrame) -> DataFrame:
     reads = rows.groupBy("readID").agg(F.max((F.col("taxID") != 0).cast("long")).alias("c"))
     totals = reads.agg(F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum("c"), F.lit(0)).alias("classified"))
     percent = F.when(F.col("processed") > 0, 100 * F.col("classified") / F.col("processed")).otherwise(F.lit(0.0))
-    return totals.withColumn("percent", F.round(percent, 6)).withColumn("value", F.format_string("Processed %d read fragments, and %d (%.2f%%) can be classified.", "processed", "classified", percent))
+    return totals.withColumn("percent", F.round(percent, 6)).withColumn("value", F.format_string("Processed %d read fragments, and %d (%s%%) can be classified.", "processed", "classified", fixed(percent, 2)))
 
 
 def write_split_mates(reads: DataFrame, rows: DataFrame, prefix: str, classified: bool) -> None:
