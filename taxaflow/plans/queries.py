@@ -282,5 +282,15 @@ SELECT doc_id, reverse(translate(substr(s, 6, greatest(length(s) - 10, 0)), 'ACG
   UNION ALL SELECT n_name, 'p', r_name, n_nationkey, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
 ), i AS (SELECT *, CAST(9999999 + row_number() OVER (ORDER BY no, deep) AS BIGINT) AS id FROM s)
 SELECT i.id AS tax_id, COALESCE(j.id, 1) AS parent_id, CASE i.p WHEN 'd' THEN 'domain' ELSE 'phylum' END AS rank, i.name FROM i LEFT JOIN i j ON i.p = 'p' AND j.p = 'd' AND j.name = i.above""",
+    "low_complexity_masks": f"""WITH t AS (SELECT item_id, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS s FROM benchmark),
+w AS (SELECT item_id, i, substr(s, i, 3) AS w FROM t, range(1, 100000) r(i) WHERE i <= length(s) - 2),
+p AS (SELECT a.item_id, a.i, b.i AS j, CASE WHEN a.w = b.w THEN 1 ELSE 0 END AS e FROM w a JOIN w b ON a.item_id = b.item_id AND b.i > a.i AND b.i < a.i + 62),
+c AS (SELECT *, sum(e) OVER (PARTITION BY item_id, j ORDER BY i DESC) AS ending FROM p),
+d AS (SELECT *, sum(ending) OVER (PARTITION BY item_id, i ORDER BY j) AS pairs FROM c),
+e AS (SELECT *, pairs / (j - i) AS score FROM d),
+f AS (SELECT *, max(score) OVER (PARTITION BY item_id, i ORDER BY j) AS inner_ FROM e),
+g AS (SELECT *, max(inner_) OVER (PARTITION BY item_id, j ORDER BY i DESC) AS best FROM f),
+m AS (SELECT DISTINCT item_id, pos FROM (SELECT item_id, unnest(range(i, j + 3)) AS pos FROM g WHERE score > 2 AND score >= best))
+SELECT t.item_id, COALESCE(string_agg(CASE WHEN m.pos IS NULL THEN substr(s, r.i, 1) ELSE 'N' END, '' ORDER BY r.i), '') AS masked FROM t LEFT JOIN range(1, 100000) r(i) ON r.i <= length(s) LEFT JOIN m ON m.item_id = t.item_id AND m.pos = r.i GROUP BY t.item_id""",
     "reverse_complements": f"SELECT doc_id, md5(reverse(translate(regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g'), 'ACGT', 'TGCA'))) AS md5 FROM documents",
 }
