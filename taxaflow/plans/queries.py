@@ -144,10 +144,10 @@ def quant_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_search(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages as reads, documents as genomes."""
+    """Benchmark passages as reads, documents as genomes: the scan of each strand, before hits of the two are reconciled."""
     genomes = _table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("seq"), _dna("text").alias("bases"))
     reads = _table(spark, d, "benchmark").select(F.col("item_id").alias("read"), _dna("text").alias("seq"))
-    return X.search(reads, X.genome_text(genomes), 23)
+    return X.search(reads, X.genome_text(genomes), 23, agree=False)
 
 
 def classified_reads(spark: SparkSession, d: str) -> DataFrame:
@@ -292,5 +292,29 @@ f AS (SELECT *, max(score) OVER (PARTITION BY item_id, i ORDER BY j) AS inner_ F
 g AS (SELECT *, max(inner_) OVER (PARTITION BY item_id, j ORDER BY i DESC) AS best FROM f),
 m AS (SELECT DISTINCT item_id, pos FROM (SELECT item_id, unnest(range(i, j + 3)) AS pos FROM g WHERE score > 2 AND score >= best))
 SELECT t.item_id, COALESCE(string_agg(CASE WHEN m.pos IS NULL THEN substr(s, r.i, 1) ELSE 'N' END, '' ORDER BY r.i), '') AS masked FROM t LEFT JOIN range(1, 100000) r(i) ON r.i <= length(s) LEFT JOIN m ON m.item_id = t.item_id AND m.pos = r.i GROUP BY t.item_id""",
+    "read_search": f"""WITH RECURSIVE g AS (
+  SELECT doc_id AS seq, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS s FROM documents WHERE doc_id IS NOT NULL
+), starts AS (SELECT seq, length(s) AS n, COALESCE(sum(length(s)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g WHERE length(s) > 10),
+whole AS (SELECT string_agg(s, '' ORDER BY seq) AS t FROM g WHERE length(s) > 10),
+pieces AS (SELECT k, substr(t, CAST(greatest(k * 1000 - 1000, 0) + 1 AS BIGINT), CAST(CASE WHEN k = 0 THEN 1000 ELSE 2000 END AS BIGINT)) AS piece, greatest(k * 1000 - 1000, 0) AS base FROM whole, range(0, 1000000) r(k) WHERE k * 1000 < length(t)),
+ends AS (SELECT k, e, base, substr(piece, CAST(e - 9 AS BIGINT), 10) AS w FROM pieces, range(1, 2001) r(e) WHERE e <= length(piece) AND e >= 10 AND base + e > k * 1000),
+b AS (SELECT item_id AS read, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS s FROM benchmark),
+reads AS (SELECT read, 1 AS strand, s FROM b UNION ALL SELECT read, -1, reverse(translate(s, 'ACGT', 'TGCA')) FROM b),
+froms AS (SELECT read, strand, f, substr(s, CAST(f - 9 AS BIGINT), 10) AS w FROM reads, range(10, 1000) r(f) WHERE f <= length(s)),
+grown AS (
+  SELECT read, strand, f, k, e, base, 10 AS len FROM froms JOIN ends USING (w)
+  UNION ALL SELECT x.read, x.strand, x.f, x.k, x.e, x.base, x.len + 1 FROM grown x JOIN reads r ON r.read = x.read AND r.strand = x.strand JOIN pieces p ON p.k = x.k
+  WHERE x.len < x.f AND x.len < x.e AND substr(r.s, CAST(x.f - x.len AS BIGINT), 1) = substr(p.piece, CAST(x.e - x.len AS BIGINT), 1)
+), longest AS (SELECT read, strand, f, max(len) AS len FROM grown GROUP BY ALL),
+scan AS (
+  SELECT read, strand, length(s) AS f FROM reads WHERE length(s) >= 23
+  UNION ALL SELECT c.read, c.strand, c.f - COALESCE(l.len, 9) - 1 FROM scan c LEFT JOIN longest l ON l.read = c.read AND l.strand = c.strand AND l.f = c.f WHERE c.f - COALESCE(l.len, 9) - 1 >= 23
+), found AS (SELECT c.read, c.strand, c.f, l.len, row_number() OVER (PARTITION BY c.read, c.strand ORDER BY c.f DESC) - 1 AS hit FROM scan c JOIN longest l ON l.read = c.read AND l.strand = c.strand AND l.f = c.f WHERE l.len >= 23),
+places AS (SELECT h.*, x.base + x.e - x.len AS pos, count(*) OVER (PARTITION BY h.read, h.strand, h.hit) AS n FROM found h JOIN grown x ON x.read = h.read AND x.strand = h.strand AND x.f = h.f AND x.len = h.len),
+ranked AS (SELECT p.*, row_number() OVER (PARTITION BY read, strand, hit ORDER BY CASE WHEN n > 40 THEN substr(t, CAST(pos + 1 AS BIGINT), 4000) END) - 1 AS r FROM places p, whole),
+kept AS (SELECT *, (n + 39) // 40 AS step FROM ranked),
+picked AS (SELECT * FROM kept WHERE n <= 40 OR r % step = 0 OR (n - 1 - r) % step = 0 AND ((n - 1 - r) // step = 0 OR (n + step - 1) // step + (n - 1 - r) // step < 40))
+SELECT o.read, CAST(o.strand AS INTEGER) AS strand, CAST(o.hit AS INTEGER) AS hit, CAST(g.seq AS BIGINT) AS seq, CAST(length(r.s) - o.f AS INTEGER) AS "offset", CAST(o.len AS INTEGER) AS length, CAST(o.n AS BIGINT) AS occurrences
+FROM (SELECT DISTINCT read, strand, hit, f, len, n, pos + 11 AS place FROM picked) o ASOF JOIN starts g ON o.place >= g.start JOIN reads r ON r.read = o.read AND r.strand = o.strand GROUP BY ALL""",
     "reverse_complements": f"SELECT doc_id, md5(reverse(translate(regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g'), 'ACGT', 'TGCA'))) AS md5 FROM documents",
 }
