@@ -37,7 +37,8 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("readID"), (F.col("l_suppkey") + SUPPLIER).alias("taxID"), F.col("l_extendedprice").cast("long").alias("score"), F.floor(F.col("l_tax") * 1_000_000).alias("2ndBestScore"), F.col("l_quantity").cast("int").alias("hitLength"), F.lit(50).alias("queryLength"), F.col("l_linenumber").cast("long").alias("row_no"))
+    """Line items as classification rows; prices and quantities are rounded, ties to even, as the SQL's casts do."""
+    return _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("readID"), (F.col("l_suppkey") + SUPPLIER).alias("taxID"), F.rint("l_extendedprice").cast("long").alias("score"), F.floor(F.col("l_tax") * 1_000_000).alias("2ndBestScore"), F.rint("l_quantity").cast("int").alias("hitLength"), F.lit(50).alias("queryLength"), F.col("l_linenumber").cast("long").alias("row_no"))
 
 
 def _dna(text: str) -> F.Column:
