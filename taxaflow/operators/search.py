@@ -6,11 +6,14 @@ suffix whose last `width` bases don't occur is skipped by `width`. Both strands
 overlap but disagree on an end are reconciled. Protein texts hold a sequence mark after each protein and are searched with
 the reading frame that scores best on each strand.
 
-The index (text and suffix array) is broadcast, so its size is checked first; a larger text is refused here.
+The text is never in one place: search() deals it out in blocks (text_blocks.py), finds for every end in a read the
+longest string of any block, scans with these lengths, and then looks up where the hits occur. Index is the same search
+with a suffix array in memory, for small texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,6 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaflow.functions.sequence import CODE
+from taxaflow.operators import text_blocks as B
+from taxaflow.storage import stored
 
 WIDTH = 10
 PROTEIN_WIDTH = 4
@@ -135,7 +140,59 @@ def frames(read: str) -> list[bytes]:
     return ["".join(_CODONS.get(read[i : i + 3], "?") for i in range(f, len(read) - 2, 3)).encode() for f in range(3)]
 
 
-class Index:
+def flipped(read: str) -> str:
+    return "".join(c if c in "ACGT" else "N" for c in read).translate(_FLIP)[::-1]
+
+
+class Scan:
+    """Reads scanned by longest_suffix(read, end), which gives (length, low, high): low < high if a string of the text was found."""
+
+    longest_suffix: Callable[[bytes, int], tuple[int, int, int]]
+
+    def scan(self, s: bytes, least: int) -> list[Match]:
+        found, end = [], len(s)
+        while end >= least:
+            length, low, high = self.longest_suffix(s, end)
+            if length >= least and low < high:
+                found.append(Match(len(s) - end, length, low, high))
+            end -= length + 1
+        return found
+
+    def best_frame(self, read: str, least: int, adjust: int) -> tuple[list[Match], bytes]:
+        """Hits of the frame with the highest score times number of hits, the first of equal ones, and the frame."""
+        return max(((self.scan(f, least), f) for f in frames(read)), key=lambda x: len(x[0]) * sum((h.length - adjust) ** 2 for h in x[0]))
+
+    def matches(self, read: str, least: int, protein: bool = False, agree: bool = True) -> Iterator[tuple[int, int, Match, bytes]]:
+        """(strand, hit, match, what was scanned)."""
+        back = flipped(read)
+        if protein:
+            both, scanned = zip(*(self.best_frame(s, least, PROTEIN_ADJUST) for s in (read, back)), strict=True)
+        else:
+            scanned = read.encode("latin-1", "replace"), back.encode()
+            both = [self.scan(s, least) for s in scanned]
+            if agree:
+                reconcile(*both, *scanned, self.longest_suffix)
+        for strand, found, s in zip((1, -1), both, scanned, strict=True):
+            for k, m in enumerate(h for h in found if h.length >= least):
+                yield strand, k, m, s
+
+
+class Lengths(Scan):
+    """A scan by the lengths that are known of every end; low of a match is that end."""
+
+    def __init__(self, known: dict[bytes, np.ndarray], width: int, letters: bytes):
+        self.known, self.width, self.letters = known, width, letters
+
+    def longest_suffix(self, read: bytes, end: int) -> tuple[int, int, int]:
+        if end < self.width:
+            return 0, 0, 0
+        length = int(self.known[read][end])
+        if length >= self.width:
+            return length, end, end + 1
+        return next((i for i in range(self.width) if read[end - i - 1] not in self.letters), self.width - 1), 0, 0
+
+
+class Index(Scan):
     def __init__(self, text: bytes, starts: list[int], seqs: list[int], width: int = WIDTH, letters: bytes = b"ACGT"):
         self.text, self.starts, self.seqs, self.width, self.letters = text, starts, seqs, width, letters
         self.order = suffix_array(text).tolist()
@@ -205,49 +262,58 @@ class Index:
             found.add(self.seqs[max(0, bisect_right(self.starts, self.order[r] + self.width + 1) - 1)])
         return found
 
-    def scan(self, s: bytes, least: int) -> list[Match]:
-        found, end = [], len(s)
-        while end >= least:
-            length, low, high = self.longest_suffix(s, end)
-            if length >= least and low < high:
-                found.append(Match(len(s) - end, length, low, high))
-            end -= length + 1
-        return found
-
-    def best_frame(self, read: str, least: int, adjust: int) -> list[Match]:
-        """Hits of the frame with the highest score times number of hits, the first of equal ones."""
-        return max((self.scan(f, least) for f in frames(read)), key=lambda hits: len(hits) * sum((h.length - adjust) ** 2 for h in hits))
-
     def hits(self, read: str, least: int, most: int, protein: bool = False, agree: bool = True) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(strand, hit, seq, offset from the read's end, length, occurrences in the text)."""
-        back = "".join(c if c in "ACGT" else "N" for c in read).translate(_FLIP)[::-1]
-        if protein:
-            both = [self.best_frame(s, least, PROTEIN_ADJUST) for s in (read, back)]
-        else:
-            s, t = read.encode("latin-1", "replace"), back.encode()
-            both = [self.scan(s, least), self.scan(t, least)]
-            if agree:
-                reconcile(*both, s, t, self.longest_suffix)
-        for strand, found in zip((1, -1), both, strict=True):
-            for k, m in enumerate(h for h in found if h.length >= least):
-                for seq in sorted(self.owners(m.low, m.high, most)):
-                    yield strand, k, seq, m.offset, m.length, m.high - m.low
-
-
-def search(reads: DataFrame, text: DataFrame, least: int, k: int = 1, factor: int = 40, most_bytes: int = 256 << 20, protein: bool = False, agree: bool = True) -> DataFrame:
-    """Hits of reads (read, seq) in a genome_text(). protein: of a protein text, by translated reads, in amino acids. agree: hits of both strands are reconciled (never with protein)."""
-    size = text.agg(F.coalesce(F.sum(F.length("bases")), F.lit(0))).first()[0]
-    if size > most_bytes:
-        raise ValueError(f"the text has {size} bases; an index of at most {most_bytes} is broadcast")
-    parts = sorted(text.collect(), key=lambda r: r["start"])
-    width, letters = (PROTEIN_WIDTH, AMINO) if protein else (WIDTH, "ACGT")
-    shipped = reads.sparkSession.sparkContext.broadcast(Index("".join(r["bases"] for r in parts).encode(), [r["start"] for r in parts], [r["seq"] for r in parts], width, letters.encode()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shipped.value
-        for batch in batches:
-            rows = [(i, *h) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h in index.hits(s or "", least, k * factor, protein, agree)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
-
-    return reads.select(F.col("read").cast("long"), "seq").mapInArrow(run, HITS)
+        for strand, k, m, _ in self.matches(read, least, protein, agree):
+            for seq in sorted(self.owners(m.low, m.high, most)):
+                yield strand, k, seq, m.offset, m.length, m.high - m.low
+
+
+def search(reads: DataFrame, text: DataFrame, least: int, k: int = 1, factor: int = 40, protein: bool = False, agree: bool = True, block: int = 1 << 20) -> DataFrame:
+    """Hits of reads (read, seq) in a genome_text(). protein: of a protein text, by translated reads, in amino acids. agree: hits of both strands are reconciled (never with protein). block: bases of the text that one task holds."""
+    width, letters = (PROTEIN_WIDTH, AMINO.encode()) if protein else (WIDTH, b"ACGT")
+    codes = B.Codes(letters, 5 if protein else 3)
+    names = [x.split()[0] for x in HITS.split(", ")]
+    chunks = stored(reads.select(F.col("read").cast("long"), "seq").withColumn("part", F.spark_partition_id()).mapInArrow(lambda batches: _chunks(batches, protein), "chunk long, strings binary, reads binary"))
+    longest = chunks.agg(F.max(F.expr("aggregate(transform(split(decode(strings, 'ISO-8859-1'), '\n'), x -> length(x)), 0, (a, x) -> greatest(a, x))"))).first()[0]
+    if not longest:
+        return reads.sparkSession.createDataFrame([], HITS)
+    blocks = stored(B.dealt(text, block, longest, width + 2))
+    lengths = B.longest(blocks, chunks.select("chunk", "strings"), codes, width, block)
+
+    def scanned(group: pa.Table) -> pa.Table:
+        own = group.column("strings")[0].as_py().split(b"\n")
+        values = np.frombuffer(group.column("lengths")[0].as_py(), "<u4")
+        ends = np.cumsum([len(s) + 1 for s in own]).tolist()
+        index = Lengths({s: values[e - len(s) - 1 : e] for s, e in zip(own, ends, strict=True)}, width, letters)
+        rows = []
+        for read, s in pickle.loads(group.column("reads")[0].as_py()):
+            for strand, hit, m, string in index.matches(s, least, protein, agree):
+                rows.append((read, strand, hit, m.offset, m.length, string[m.low - int(index.known[string][m.low]) : m.low]))
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["read", "strand", "hit", "offset", "length", "string"])
+
+    found = chunks.join(lengths, "chunk").groupBy("chunk").applyInArrow(scanned, "read long, strand int, hit int, offset int, length int, string binary")
+    found = stored(found.withColumn("name", F.sha2("string", 256)))
+    owners = B.owners(blocks, found.select("name", "string").dropDuplicates(["name"]), codes, width, block, k * factor)
+    return found.join(owners, "name").select(*names)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], protein: bool, bases: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Reads in portions: what is to be scanned of them, each string once, and the reads themselves."""
+    have: list[tuple[int, str]] = []
+    no = size = 0
+    for batch in batches:
+        for read, seq, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            have.append((read, "".join(c if c in "ACGT" else "N" for c in seq or "")))
+            size += len(have[-1][1])
+            if size >= bases:
+                yield _chunk((part << 32) + no, have, protein)
+                have, no, size = [], no + 1, 0
+    if have:
+        yield _chunk((part << 32) + no, have, protein)
+
+
+def _chunk(key: int, reads: list[tuple[int, str]], protein: bool) -> pa.RecordBatch:
+    strings = sorted({x for _, s in reads for t in (s, flipped(s)) for x in (frames(t) if protein else [t.encode()])})
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([b"\n".join(strings)], pa.binary()), pa.array([pickle.dumps(reads)], pa.binary())], names=["chunk", "strings", "reads"])
