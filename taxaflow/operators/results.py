@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaflow.functions.sequence import assignment_weight, hit_score
 from taxaflow.operators import taxonomy as T
+from taxaflow.storage import stored
 
 
 def score_hits(hits: DataFrame, least: int = 23, adjust: int = 15) -> DataFrame:
@@ -49,17 +55,13 @@ def read_counts(assigned: DataFrame, nodes: DataFrame, up: DataFrame, root: int)
 def abundances(assigned: DataFrame, nodes: DataFrame, up: DataFrame, lengths: DataFrame, root: int, most: int = 1000, most_rows: int = 2_000_000) -> dict[int, float]:
     """Abundance of each covered taxon, by expectation maximisation over the coalesced assignments and the tree.
 
-    Coalescing leaves one row for each set of targets; it is counted before it is collected, and refused above most_rows.
+    Coalescing leaves one row for each set of targets. Up to most_rows of them are collected, packed; more stay on the
+    executors, where every round is one pass over them. The driver holds the covered taxa.
     """
-    import numpy as np
-
-    if assigned.count() > most_rows:
-        raise ValueError(f"more than {most_rows} distinct target sets; raise most_rows or coarsen targets first")
-    data = assigned.select("targets", "weight").collect()
     covered = assigned.select(F.explode("targets").alias("tax_id")).distinct().join(up, "tax_id").select("anc").distinct()
     tree = {r["tax_id"]: r["parent_id"] for r in nodes.join(covered.withColumnRenamed("anc", "tax_id"), "tax_id", "left_semi").select("tax_id", "parent_id").collect()}
     size = {r["tax_id"]: r["length"] for r in lengths.join(covered.withColumnRenamed("anc", "tax_id"), "tax_id", "left_semi").collect()}
-    if not data:
+    if assigned.isEmpty():
         return {}
     deep = {root: 0}
 
@@ -82,9 +84,7 @@ def abundances(assigned: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Da
     by_depth = [np.flatnonzero(np.array([deep[x] for x in ids]) == d) for d in range(1, max(deep[x] for x in ids) + 1)]
     length = np.array([float(size.get(x, 1_000_000)) for x in ids])
     length = length + length[at[root]] // 10
-    who = np.concatenate([np.full(len(r["targets"]), i) for i, r in enumerate(data)])
-    target = np.array([at.get(t, at[root]) for r in data for t in r["targets"]])
-    weight = np.array([r["weight"] for r in data])
+    shares = _shares(assigned, at, at[root], n, most_rows)
 
     def rolled(x: np.ndarray) -> np.ndarray:
         x = x.copy()
@@ -104,13 +104,10 @@ def abundances(assigned: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Da
             x[level[more]] += excess[parent[level[more]]] * share[more] / total[parent[level[more]]]
         return x
 
-    many = np.bincount(who, minlength=len(data))
-    a = spread(rolled(np.bincount(target, (weight / many)[who], n)), length)
+    a = spread(rolled(shares(np.zeros(n))), length)
     a /= a[at[root]] or 1.0
     for _ in range(most):
-        total = np.bincount(who, a[target], len(data))
-        share = np.where(total[who] > 0, a[target] / np.where(total[who] > 0, total[who], 1), 1 / many[who])
-        count = np.bincount(target, weight[who] * share, n) / length
+        count = shares(a) / length
         new = spread(rolled(count / (count.sum() or 1.0)), np.ones(n))
         delta = np.abs(new - a).sum()
         a = new
@@ -119,6 +116,58 @@ def abundances(assigned: DataFrame, nodes: DataFrame, up: DataFrame, lengths: Da
     return {x: float(v) for x, v in zip(ids, a, strict=True)}
 
 
+def _shares(assigned: DataFrame, at: dict[int, int], other: int, n: int, most_rows: int, slice_: int = 1 << 16) -> Callable[[np.ndarray], np.ndarray]:
+    """What each of n taxa gets of all weights, by given abundances: a set's weight is shared by those of its targets, evenly if they have none. at: places of taxa; others are at `other`."""
+    spark = assigned.sparkSession
+    taxa = np.array(sorted(at), np.int64)
+    known = spark.sparkContext.broadcast((taxa, np.array([at[x] for x in taxa.tolist()], np.int64)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taxa, places = known.value
+        for batch in batches:
+            targets = batch.column(0)
+            many, x = pc.list_value_length(targets).to_numpy(), pc.list_flatten(targets).to_numpy()
+            near = np.minimum(np.searchsorted(taxa, x), len(taxa) - 1)
+            place = np.where(taxa[near] == x, places[near], other)
+            yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in (many.astype("<i4"), place.astype("<i4"), batch.column(1).to_numpy().astype("<f8"))], names=["many", "place", "weight"])
+
+    def share(row: tuple[bytes, bytes, bytes], a: np.ndarray) -> np.ndarray:
+        many, place, weight = (np.frombuffer(x, t) for x, t in zip(row, ("<i4", "<i4", "<f8"), strict=True))
+        who = np.repeat(np.arange(len(many)), many)
+        total = np.bincount(who, a[place], len(many))[who]
+        part = np.where(total > 0, a[place] / np.where(total > 0, total, 1), 1 / many[who])
+        return np.bincount(place, weight[who] * part, n)
+
+    packed = stored(assigned.select("targets", "weight").mapInArrow(pack, "many binary, place binary, weight binary").withColumn("part", F.spark_partition_id()))
+    if assigned.count() <= most_rows:
+        held = [(r["many"], r["place"], r["weight"]) for r in packed.collect()]
+        return lambda a: sum((share(r, a) for r in held), np.zeros(n))
+
+    def passed(a: np.ndarray) -> np.ndarray:
+        shipped = spark.sparkContext.broadcast(a)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, part = np.zeros(n), None
+            for batch in batches:
+                *columns, parts = (c.to_pylist() for c in batch.columns)
+                for row, part in zip(zip(*columns, strict=True), parts, strict=True):
+                    total += share(row, shipped.value)
+            if part is not None:
+                for i in range(0, n, slice_):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part], pa.int32()), pa.array([total[i : i + slice_].tobytes()], pa.binary())], names=["at", "part", "total"])
+
+        def add(group: pa.Table) -> pa.Table:  # in one order, so reruns agree
+            total = sum(np.frombuffer(x, "<f8") for x in group.sort_by("part").column("total").to_pylist())
+            return pa.table([group.column("at").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["at", "total"])
+
+        out = packed.mapInArrow(run, "at long, part int, total binary").groupBy("at").applyInArrow(add, "at long, total binary")
+        whole = np.concatenate([np.frombuffer(r["total"], "<f8") for r in sorted(out.collect(), key=lambda r: r["at"])])
+        shipped.destroy()
+        return whole
+
+    return passed
+
+
 def quant_report(rows: DataFrame, nodes: DataFrame, up: DataFrame, lengths: DataFrame, root: int, exact: bool = False) -> DataFrame:
     """name, taxID, taxRank, genomeSize, numReads, numUniqueReads, abundance of every covered taxon; exact adds reads, their count before it is cut to whole reads."""
     spark = rows.sparkSession
