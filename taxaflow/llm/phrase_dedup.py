@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,6 +25,7 @@ from taxaflow.llm.common import byte_codes, code_hashes, document_chunks, ragged
 from taxaflow.llm.windows import Bucket, emit, remove_repeats, segments, spans_out
 
 LENGTH, K = 13, 3
+LETTERS = 2 << 20  # of the passages in one automaton, which takes some 40 bytes for each
 
 
 def normal(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,6 +64,15 @@ def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buc
         yield from emit(first, n, doc, least, code, np.concatenate(firsts), same, ids, sums, begin, size, np.concatenate(flats), buckets, groups, LENGTH)
 
 
+def _found(passages: list[bytes], first: int, stream: str) -> np.ndarray:
+    """(end, number of the passage) of every occurrence."""
+    automaton = ahocorasick.Automaton()
+    for i, p in enumerate(passages, first):
+        automaton.add_word(" " + p.decode("latin-1"), i)
+    automaton.make_automaton()
+    return np.fromiter(chain.from_iterable(automaton.iter(stream)), np.int64).reshape(-1, 2)
+
+
 def decide(bucket: Bucket, groups: int) -> pa.Table:
     items = np.arange(len(bucket.doc))
     raw = bucket.content.tobytes()
@@ -124,13 +135,9 @@ def decide(bucket: Bucket, groups: int) -> pa.Table:
     if not passages:
         none = np.zeros(0, np.int64)
         return spans_out(bucket, none, none, none, LENGTH, groups)
-    automaton = ahocorasick.Automaton()
-    for i, p in enumerate(passages):
-        automaton.add_word(" " + p.decode("latin-1"), i)
-    automaton.make_automaton()
-    # all segments stream through it, a line each: no word holds a line break
-    stream = b" " + b"\n ".join(texts)
-    hits = np.array(list(automaton.iter(stream.decode("latin-1"))), np.int64).reshape(-1, 2)
+    # all segments stream through automata of some passages each, a line a segment: no word holds a line break
+    stream = (b" " + b"\n ".join(texts)).decode("latin-1")
+    hits = np.concatenate([_found(passages[x:y], x, stream) for x, y in document_chunks(np.append(0, np.cumsum(length)), LETTERS)])
     t_size = size[rep]
     line = np.cumsum(t_size + 2) - (t_size + 2) + 1  # where each text starts in the stream
     end, what = hits[:, 0] + 1, hits[:, 1]

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import mix, parts_for, ragged, same_bytes, slices, utf8_buffers
+from taxaflow.llm.common import mix, parts_for, ragged, release, same_bytes, slices, utf8_buffers
 
 _PRIME = 2147483647
 
@@ -214,7 +214,9 @@ def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.nd
         key = group.column("bucket")[0].as_py()
         if key < 0:  # spans decided by the scan
             return pa.table({"grp": pa.array([-1 - key] * group.num_rows, pa.int32()), "blob": group.column("blob")})
-        return decide(Bucket(group.column("blob").to_pylist()), groups)
+        found = decide(Bucket(group.column("blob").to_pylist()), groups)
+        release()
+        return found
 
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
         spans: dict[tuple, tuple] = {}
@@ -232,6 +234,8 @@ def remove_repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.nd
             text = zstandard.decompress(t)
             rows.append(finish(text, *spans.get((i, checksum(text)), (none, none))))
         made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), result, strict=True)] if rows else [pa.array([], f.type) for f in result]
+        del rows, spans
+        release()
         return pa.table([*(left.column(c) for c in ("doc_id", *keep)), *made], names=["doc_id", *keep, *result.names])
 
     pieces = docs.select("doc_id", "text").mapInArrow(first, "bucket int, blob binary").repartition(tasks, "bucket")
