@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions.sequence import hit_score
 from taxaflow.operators import taxonomy as T
+from taxaflow.storage import stored
 
 
 def choose_strand(hits: DataFrame, least: int = 23, adjust: int = 15) -> DataFrame:
@@ -66,15 +67,15 @@ def classify(reads: DataFrame, hits: DataFrame, sequences: DataFrame, nodes: Dat
     than k best sequences gets the taxa they reduce to, with the rank in seqID; one without hits is unclassified. Columns
     barcode and UMI of reads are kept. expanded adds expandedTaxIDs: by ids, the taxa that a reduced one stands for.
     """
-    best = best_sequences(sequence_scores(join_adjacent(choose_strand(hits, least, adjust), least), least, adjust))
+    best = stored(best_sequences(sequence_scores(join_adjacent(choose_strand(hits, least, adjust), least), least, adjust)))  # read several times below, as are the next two: else the plan holds it each time
     top = F.lit(root).cast("long")
     known = nodes.select("tax_id", F.col("tax_id").alias("known"))
-    named = best.join(sequences.select("seq", "name", "tax_id"), "seq").join(known, "tax_id", "left").withColumn("tax_id", F.col("known"))
+    named = stored(best.join(sequences.select("seq", "name", "tax_id"), "seq").join(known, "tax_id", "left").withColumn("tax_id", F.col("known")))
     few = named.where(F.col("n") <= k).select("read", F.col("name").alias("seqID"), F.coalesce("tax_id", top).alias("tax_id"))
     many = named.where(F.col("n") > k).select("read", "tax_id").distinct()
     ranks = nodes.select("tax_id", F.col("rank").alias("seqID"))
     reduced = T.reduce_to_k(many, nodes, up, root, k).join(ranks, "tax_id", "left").select("read", F.coalesce("seqID", F.lit("no rank")).alias("seqID"), F.coalesce("tax_id", top).alias("tax_id"))
-    rows = few.unionByName(reduced)
+    rows = stored(few.unionByName(reduced))
     extra = [c for c in ("barcode", "UMI") if c in reads.columns]
     if expanded:
         children = T.expanded_taxa(many, nodes, up, root, k).select("read", F.coalesce("tax_id", top).alias("tax_id"), F.coalesce("child", top).alias("child"))
