@@ -337,6 +337,8 @@ class Bpe:
 
 
 
+#: Bytes of text that are encoded at once; a worker takes some 90 bytes for each.
+SLICE = 1 << 19
 _BY_TEXT: dict[int, Bpe] = {}
 
 
@@ -362,7 +364,7 @@ def encode_column(docs: DataFrame, ranks: bytes, text: str = "text", offsets: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(shipped.value)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, SLICE):
             got = bpe.encode([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             more = [pa.array([g[0] for g in got], pa.binary())]
             if offsets:
@@ -379,7 +381,7 @@ def digests(docs: DataFrame, ranks: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(shipped.value)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE):
             rows = []
             for coded, starts in bpe.encode([t or "" for t in batch.column(1).to_pylist()]):
                 ids = np.frombuffer(coded, "<u4")

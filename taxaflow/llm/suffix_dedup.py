@@ -155,7 +155,7 @@ def cut(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, sums: np.ndarray, buc
         return
     padded = np.concatenate([raw, np.zeros(16, np.uint8)]).tobytes()
     found = []
-    for a, b in document_chunks(off, 1 << 18):  # some 20 numbers a byte: a few documents at a time
+    for a, b in document_chunks(off, 1 << 16):  # some 20 numbers a byte: a few documents at a time
         low, high = int(off[a]), int(off[b])
         first, n, doc, least, code = segments(np.ndarray((high - low,), "<u8", padded, low, (1,)), off[a : b + 1] - low, LENGTH, K)
         if len(first):
